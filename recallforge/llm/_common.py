@@ -59,29 +59,28 @@ def rows_of(df: DataFrame, ids: DataFrame, key: str, limit: int = MAX_BROADCAST_
     return df.join(side, key, "left_semi")
 
 
-def with_rank(df: DataFrame, key: list[str], order: list[Column], out: str, buckets: int | None = None) -> DataFrame:
-    """Gapless rank (from 0) of rows within ``key``, without sorting a key in one task.
+def with_rank(df: DataFrame, key: list[str], order: list[Column], out: str, size: str | None = None, deal: Column | None = None, buckets: int | None = None) -> DataFrame:
+    """Gapless rank (from 0) of rows within ``key``, or with ``size`` the sum of the sizes ahead, without sorting a key in one task.
 
-    Rows of a key are dealt over hash buckets of their order columns; bucket
-    counts give offsets, a window numbers the rows of each bucket. The order is
-    (bucket, order): fixed for given rows and bucket count, pseudo-random like a shuffle.
+    Rows of a key are dealt over hash buckets (of their order columns, or by
+    ``deal``); totals of buckets give offsets, a window counts on within a bucket.
+    The order is (bucket, order): fixed for given rows and bucket count, and
+    pseudo-random like a shuffle. Nulls in ``key`` are a key of their own.
     """
     if buckets is None:
         buckets = bucket_count(df.count())
-    b = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = b.groupBy(*key, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    ahead = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col("__bucket").alias("__kb"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__off"))
-    on = [b[k].eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)] + [F.col("__bucket") == F.col("__kb")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    within = Window.partitionBy(*key, "__bucket").orderBy(*order)
-    return (
-        b.withColumn("__rn", F.row_number().over(within)).join(offsets, cond)
-        .withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("long"))
-        .drop("__bucket", "__rn", "__off", "__kb", *[f"__k{i}" for i in range(len(key))])
-    )
+    each = F.col(size) if size else F.lit(1)
+    names = [f"__k{i}" for i in range(len(key))]
+    b = df.withColumn("__bucket", F.pmod(F.xxhash64(*order) if deal is None else deal, F.lit(buckets)).cast("int"))
+    counts = b.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], F.col("__bucket").alias("__kb")).agg(F.sum(each).alias("__n"))
+    ahead = Window.partitionBy(*(names or [F.lit(0)])).orderBy("__kb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
+    cond = F.col("__bucket") == F.col("__kb")
+    for k, n in zip(key, names, strict=True):
+        cond = cond & F.col(k).eqNullSafe(F.col(n))
+    within = Window.partitionBy(*key, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    got = b.withColumn("__to", F.sum(each).over(within) - each).join(offsets, cond)
+    return got.withColumn(out, (F.col("__off") + F.col("__to")).cast("long")).drop("__bucket", "__to", "__off", "__kb", *names)
 
 
 def bucket_count(rows: int, per_bucket: int = 20_000) -> int:

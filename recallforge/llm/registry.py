@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from recallforge.llm.decontaminate import OP8_SQL, op8_winnowing
+from recallforge.llm.line_dedup import OP6_SQL, op6_site_spread
 from recallforge.llm.mixing import op10_pfair
 from recallforge.llm.near_dedup import op3_multi_index_hamming
 from recallforge.llm.quality_classifier import op1_quadratic_discriminant
+from recallforge.llm.quality_rules import op2_decision_list
 from recallforge.llm.secrets import op9_blob_ledger
 from recallforge.llm.sharding import op4_label_propagation
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quadratic_discriminant, op3_multi_index_hamming, op4_label_propagation, op8_winnowing, op9_blob_ledger, op10_pfair)}
+    return {f.__name__: f for f in (op1_quadratic_discriminant, op2_decision_list, op3_multi_index_hamming, op4_label_propagation, op6_site_spread, op8_winnowing, op9_blob_ledger, op10_pfair)}
 
 
 def oracle_sql():
-    return {"op8_winnowing": OP8_SQL}
+    return {"op6_site_spread": OP6_SQL, "op8_winnowing": OP8_SQL}

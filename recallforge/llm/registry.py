@@ -10,10 +10,11 @@ from recallforge.llm.quality_classifier import op1_quadratic_discriminant
 from recallforge.llm.quality_rules import op2_decision_list
 from recallforge.llm.secrets import op9_blob_ledger
 from recallforge.llm.sharding import op4_label_propagation
+from recallforge.llm.suffix_dedup import op5_difference_cover
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quadratic_discriminant, op2_decision_list, op3_multi_index_hamming, op4_label_propagation, op6_site_spread, op8_winnowing, op9_blob_ledger, op10_pfair)}
+    return {f.__name__: f for f in (op1_quadratic_discriminant, op2_decision_list, op3_multi_index_hamming, op4_label_propagation, op5_difference_cover, op6_site_spread, op8_winnowing, op9_blob_ledger, op10_pfair)}
 
 
 def oracle_sql():

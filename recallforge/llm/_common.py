@@ -88,22 +88,27 @@ def bucket_count(rows: int, per_bucket: int = 20_000) -> int:
     return max(16, -(-rows // per_bucket))
 
 
+def side(df: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """``df`` (a few longs a row) marked for broadcast if it has at most ``limit`` rows, which is counted; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (long ``a``, ``b``): rows (id, component), component the least id.
 
-    Least labels spread over edges and then jump along labels (label of the
-    label), so chains shorten geometrically; stops when nothing changes. All
-    of it is joins and aggregates of edge-sized tables, stashed each round.
+    Least labels spread over edges and jump along labels (label of the label), so
+    chains shorten geometrically; stops when nothing changes. A round is one
+    aggregate of edge-sized tables, stashed.
     """
-    both = stash(
-        edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
-    )
+    there = edges.where("a <> b").select("a", "b")
+    both = stash(there.union(there.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("m"))
-        met = labels.join(near, labels.id == near.a).select("id", F.least("label", "m").alias("label"), F.col("label").alias("was"))
-        up = met.select(F.col("id").alias("up_id"), F.col("label").alias("up"))
-        new = stash(met.join(up, met.label == up.up_id, "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "was"), "labels")
+        known = side(labels)
+        heard = both.join(known, both["b"] == known["id"]).select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("was"))
+        met = heard.union(labels.select("id", "label", F.col("label").alias("was"))).groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        up = known.select(F.col("id").alias("up_id"), F.col("label").alias("up"))
+        new = stash(met.join(F.broadcast(up) if known is not labels else up, met["label"] == F.col("up_id"), "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "was"), "labels")
         if new.where("label <> was").limit(1).count() == 0:
             return new.select("id", F.col("label").alias("component"))
         labels = new.select("id", "label")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from recallforge.llm.decontaminate import OP8_SQL, op8_winnowing
 from recallforge.llm.line_dedup import OP6_SQL, op6_site_spread
 from recallforge.llm.mixing import op10_pfair
@@ -10,11 +11,12 @@ from recallforge.llm.quality_classifier import op1_quadratic_discriminant
 from recallforge.llm.quality_rules import op2_decision_list
 from recallforge.llm.secrets import op9_blob_ledger
 from recallforge.llm.sharding import op4_label_propagation
+from recallforge.llm.substring_dedup import op7_paragraph_bands
 from recallforge.llm.suffix_dedup import op5_difference_cover
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quadratic_discriminant, op2_decision_list, op3_multi_index_hamming, op4_label_propagation, op5_difference_cover, op6_site_spread, op8_winnowing, op9_blob_ledger, op10_pfair)}
+    return {f.__name__: f for f in (op1_quadratic_discriminant, op2_decision_list, op3_multi_index_hamming, op4_label_propagation, op5_difference_cover, op6_site_spread, op7_paragraph_bands, op8_winnowing, op9_blob_ledger, op10_pfair)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

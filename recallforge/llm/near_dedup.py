@@ -8,10 +8,8 @@ equal keys give every pair within that distance. At a Jaccard similarity of 0.8
 a pair exceeds 23 of 60 differing symbols with a probability of 1e-4. All
 candidates are confirmed on full shingle sets.
 
-Equal sets are collapsed to one representative first. Within a key, rows are
-compared with a pivot, not with each other; keys whose rows are then still in
-different components take a new pivot, and what is left after ``PIVOTS`` of
-them is paired, limited to pairs within the signature distance.
+Equal sets are collapsed to one representative first; keys are searched by
+pivots (see that module), within the signature distance.
 """
 
 from __future__ import annotations
@@ -25,28 +23,33 @@ from pyspark.sql import functions as F
 
 from recallforge.llm import _kernel as K
 from recallforge.llm._common import components, rows_of, small_batches, stash
+from recallforge.llm.pivots import PARITY, linked, parity
 
 CHUNKS, WIDTH = 12, 5
 SYMBOLS, DISTANCE = CHUNKS * WIDTH, 2 * CHUNKS - 1
-PIVOTS = 3
 _ODD = K.multipliers(SYMBOLS)
 _LANES = -(-SYMBOLS // 8)
 
 
-def _sign(n: int, similar: int):
+def _sign(n: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, offsets in K.slices(batch.column(1)):
-                size, low, high, signs = [], [], [], np.zeros((hi - lo, SYMBOLS), np.uint16)
+                size, low, high, signs, marks = [], [], [], np.zeros((hi - lo, SYMBOLS), np.uint16), np.zeros((hi - lo, _LANES + PARITY), np.int64)
                 for t, own in enumerate(K.shingle_sets(data, offsets, n)):
                     size.append(len(own))
                     low.append(int(own.sum(dtype=K.U64)))
                     high.append(int(K.mix(own ^ K.U64(0xA5A5A5A55A5A5A5A)).sum(dtype=K.U64)))
                     if len(own):
                         signs[t] = K.minhash(own, _ODD) & K.U64(0xFFFF)
+                        marks[t, _LANES:] = parity(own)
+                low_bytes = np.zeros((hi - lo, _LANES * 8), np.uint8)
+                low_bytes[:, :SYMBOLS] = signs.astype(np.uint8)
+                marks[:, :_LANES] = low_bytes.view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, marks.size + 1, marks.shape[1]), pa.int32()), pa.array(marks.ravel()))
                 flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SYMBOLS), hi - lo, [None, pa.py_buffer(signs.tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(np.array(low, K.U64).view(np.int64)), pa.array(np.array(high, K.U64).view(np.int64)), flat.cast(pa.binary())], names=["id", "n", "low", "high", "sign"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(np.array(low, K.U64).view(np.int64)), pa.array(np.array(high, K.U64).view(np.int64)), flat.cast(pa.binary()), lists], names=["id", "n", "low", "high", "sign", "marks"])
 
     return run
 
@@ -56,11 +59,11 @@ def _signs(column: pa.Array) -> np.ndarray:
 
 
 def _keys(batches):
-    """(key, id, n): for each chunk and each symbol left out of it, a key of the others."""
+    """(key, id): for each chunk and each symbol left out of it, a key of the others."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            signs = _signs(part.column(2)).astype(K.U64).reshape(-1, CHUNKS, WIDTH)
+            signs = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), np.uint16).astype(K.U64).reshape(-1, CHUNKS, WIDTH)
             keys = np.zeros((len(signs), CHUNKS, WIDTH), K.U64)
             for left in range(WIDTH):
                 packed = np.zeros(signs.shape[:2], K.U64)
@@ -68,29 +71,19 @@ def _keys(batches):
                     if j != left:
                         packed = K.mix(packed + signs[:, :, j] + K.U64(0x9E3779B97F4A7C15))
                 keys[:, :, left] = packed + (np.arange(CHUNKS, dtype=K.U64) * K.U64(WIDTH) + K.U64(left)) * K.U64(0xD6E8FEB86659FD93)
-            yield pa.RecordBatch.from_arrays([pa.array(K.mix(keys).reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), SYMBOLS)), pa.array(np.repeat(np.asarray(part.column(1)), SYMBOLS))], names=["key", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(K.mix(keys).reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), SYMBOLS))], names=["key", "id"])
 
 
-def _lanes(batches):
-    """(id, lanes): the low byte of every symbol, eight to a long, for counting differing symbols with bit operations."""
-    for batch in batches:
-        low = np.zeros((batch.num_rows, _LANES * 8), np.uint8)
-        if batch.num_rows:
-            low[:, :SYMBOLS] = _signs(batch.column(2)).astype(np.uint8)
-        lanes = low.view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(_LANES))], names=["id", *(f"s{i}" for i in range(_LANES))])
-
-
-def distance(a: str, b: str) -> Column:
-    """Number of byte lanes that differ between the signatures of two aliases: never more than the symbols that differ."""
+def distance(x: Column, y: Column) -> Column:
+    """Number of byte lanes (low bytes of symbols, eight to a long) that differ between two marks: never more than the symbols that differ."""
 
     def differing(i: int) -> Column:
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+        z = x[i].bitwiseXOR(y[i])
         for by in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+            z = z.bitwiseOR(F.shiftrightunsigned(z, by))
+        return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
 
-    return reduce(lambda x, y: x + y, [differing(i) for i in range(_LANES)])
+    return reduce(lambda a, b: a + b, [differing(i) for i in range(_LANES)])
 
 
 def _confirm(n: int, similar: int):
@@ -116,44 +109,18 @@ def _confirm(n: int, similar: int):
 
 
 def links(docs: DataFrame, signs: DataFrame, shingle: int = 2, similar: int = 80) -> DataFrame:
-    """Confirmed links (a < b) between the rows of ``signs`` (id, n, sign), enough of them that components are those of all links.
+    """Confirmed links (a, b) between the rows of ``signs`` (id, n, sign, marks), enough of them that components are those of all links.
 
     ``docs`` has (id, text) of every row of ``signs``.
     """
-    spark = docs.sparkSession
-    keys = signs.select("id", "n", "sign").mapInArrow(_keys, "key long, id long, n long")
-    lanes = stash(signs.select("id", "n", "sign").mapInArrow(_lanes, "id long, " + ", ".join(f"s{i} long" for i in range(_LANES))), "lanes")
-    pivots = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("pivot")).where("c > 1").select("key", "pivot")
-    members = stash(keys.join(pivots, "key"), "members")
-    confirmed, tested = None, None
-    for turn in range(PIVOTS + 1):
-        star = turn < PIVOTS
-        fits = lambda x, y: (100 * F.least(x, y) >= similar * F.greatest(x, y))  # noqa: E731  sizes alone bound the similarity
-        if star:
-            pairs = members.where(fits(F.col("n"), F.col("pivot.n")) & (F.col("id") > F.col("pivot.id"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            near = pairs.join(lanes.alias("x"), F.col("a") == F.col("x.id")).join(lanes.alias("y"), F.col("b") == F.col("y.id")).where(distance("x", "y") <= DISTANCE).select("a", "b")
-        else:
-            rows = members.select("key", "id", "n", "label").join(lanes, "id")
-            near = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.n"), F.col("y.n")) & (distance("x", "y") <= DISTANCE)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            near = near.join(tested, ["a", "b"], "left_anti")
-        near = stash(near, "near")
-        tested = near if tested is None else tested.unionByName(near)
-        ids = stash(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        texts = rows_of(docs, ids, "id")
-        pairs = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        new = stash(pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, similar), "a long, b long"), "links")
-        confirmed = new if confirmed is None else confirmed.unionByName(new)
-        if not star:
-            break
-        groups = components(confirmed)
-        rest = members.where("id <> pivot.id").select("key", "id", "n").join(groups, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        open_keys = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("id", "n")).alias("pivot")).where("l0 <> l1").select("key", "pivot")
-        members = stash(rest.join(open_keys, "key"), "members")
-        if members.limit(1).count() == 0:
-            break
-    return confirmed
+    keys = signs.select("id", "sign").mapInArrow(_keys, "key long, id long")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        texts = rows_of(docs, stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"), "id")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, similar), "a long, b long")
+
+    return linked(keys, signs.select("id", "n", "marks"), similar, confirm, lambda x, y: distance(x, y) <= DISTANCE, _LANES)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2, similar: int = 80) -> DataFrame:
@@ -168,13 +135,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = stash(own.mapInArrow(_sign(shingle, similar), "id long, n long, low long, high long, sign binary"), "signs")
+    signed = stash(own.mapInArrow(_sign(shingle), "id long, n long, low long, high long, sign binary, marks array<long>"), "signs")
     whole = signed.where("n > 0 and id is not null")
     classes = stash(whole.groupBy("n", "low", "high").agg(F.min("id").alias("rep")), "classes")
-    reps = stash(whole.join(classes.select(F.col("rep").alias("id"), "n", "low", "high"), ["id", "n", "low", "high"], "left_semi").dropDuplicates(["id"]).select("id", "n", "sign"), "reps")
+    reps = stash(whole.join(classes.select(F.col("rep").alias("id"), "n", "low", "high"), ["id", "n", "low", "high"], "left_semi").dropDuplicates(["id"]).select("id", "n", "sign", "marks"), "reps")
     groups = components(links(own, reps, shingle, similar))
     merged = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n", "low", "high", F.coalesce("component", "rep").alias("component"))
-    out = signed.drop("sign").join(merged, ["n", "low", "high"], "left")
+    out = signed.drop("sign", "marks").join(merged, ["n", "low", "high"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

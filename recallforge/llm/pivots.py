@@ -1,53 +1,61 @@
 """Links among rows that share index keys, without all pairs of a key.
 
-The rows of a key are compared with a pivot, its least row. Keys whose other
-rows are then still in different components take a new pivot; what is left
-after ``PIVOTS`` of them is paired, rows of different components only.
+The rows of a key are first compared with a pivot, its least row. In keys whose
+other rows are then still in different components, rows of different components
+are paired; bounds that lose no link keep all but likely pairs from leaving the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallforge.llm._common import components, stash
 
-PIVOTS = 3
+#: 64-bit words of a parity sketch.
+PARITY = 8
 
 
-def linked(keys: DataFrame, similar: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that ``confirm`` lets pass, of rows (key, id, n): enough that their components are those of all links within keys.
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Sketch of a set of hashes: each flips one of 64 * PARITY bits, so sketches differ in no more bits than sets do in elements."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-    ``n`` is the size of the row's set: sizes alone bound the similarity, so pairs
-    too unlike in size are not confirmed.
+
+def parity_bits(x: Column, y: Column, at: int = 0) -> Column:
+    """Bits in which two sketches differ that stand at ``at`` in arrays of longs."""
+    return reduce(lambda a, b: a + b, [F.bit_count(x[at + i].bitwiseXOR(y[at + i])) for i in range(PARITY)])
+
+
+def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None, at: int = 0) -> DataFrame:
+    """Links (a, b) that ``confirm`` lets pass, of rows (key, id): enough that their components are those of all links within keys.
+
+    ``marks`` has (id, n, marks) of every row: the size of its set and an array of
+    longs with a parity sketch at ``at``. Similar sets differ in size and in
+    elements by so much at most, and so do their sketches; ``near`` is another
+    condition on two arrays of marks.
     """
 
-    def fits(x: Column, y: Column) -> Column:
-        return 100 * F.least(x, y) >= similar * F.greatest(x, y)
-
-    pivots = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("pivot")).where("c > 1").select("key", "pivot")
-    members = stash(keys.join(pivots, "key"), "members")
-    done, tested = None, None
-    for turn in range(PIVOTS + 1):
-        if turn < PIVOTS:
-            pairs = members.where(fits(F.col("n"), F.col("pivot.n")) & (F.col("id") != F.col("pivot.id"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
-        else:
-            x, y = members.alias("x"), members.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = stash(confirm(pairs), "links")
-        done = new if done is None else done.unionByName(new)
-        if turn == PIVOTS:
-            break
-        groups = components(done)
-        rest = members.where("id <> pivot.id").select("key", "id", "n").join(groups, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        still = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("id", "n")).alias("pivot")).where("l0 <> l1").select("key", "pivot")
-        members = stash(rest.join(still, "key"), "members")
-        if members.limit(1).count() == 0:
-            break
-    return done
+    def likely(x: str, y: str) -> Column:
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        a, b = F.col(f"{x}.marks"), F.col(f"{y}.marks")
+        bound = (100 * F.least(n, m) >= similar * F.greatest(n, m)) & ((100 + similar) * parity_bits(a, b, at) <= (100 - similar) * (n + m))
+        return bound if near is None else bound & near(a, b)
+
+    pivots = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1").select("key", "pivot")
+    members = stash(keys.join(pivots, "key").select("key", "id", "pivot"), "members")
+    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = stars.join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id")).where(likely("x", "y")).select("a", "b")
+    first = stash(confirm(stash(pairs, "pairs")), "links")
+    groups = components(first)
+    rest = stash(members.where("id <> pivot").select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "rest")
+    still = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+    open_rows = stash(rest.join(still, "key", "left_semi").join(marks, "id"), "open")
+    x, y = open_rows.alias("x"), open_rows.alias("y")
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y"))
+    later = stash(confirm(stash(more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")), "links")
+    return first.unionByName(later)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from recallforge.llm import _kernel as K
 from recallforge.llm._common import components, rows_of, small_batches, stash
 from recallforge.llm.line_dedup import without
-from recallforge.llm.pivots import linked
+from recallforge.llm.pivots import PARITY, linked, parity
 
 SHINGLE, SIMILAR, MIN_WORDS, RECALL = 5, 80, 20, 0.999
 
@@ -29,7 +29,7 @@ def tune(similar: int, recall: float, rows: int = 3) -> tuple[int, int]:
 
 
 def paragraphs(data: np.ndarray, offsets: np.ndarray, shingle: int, least: int, bands: int, rows: int):
-    """(text, line number, sequence hash, distinct shingles, band keys) of the lines of a slice with ``least`` words."""
+    """(text, line number, sequence hash, distinct shingles, parity sketches, band keys) of the lines of a slice with ``least`` words."""
     ends = np.flatnonzero(data == 10)
     data = K.LOWER[data]
     starts, stops, bounds = K.words(data, offsets, K.BLANK)
@@ -47,24 +47,27 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, shingle: int, least: int,
     size = hi - lo - shingle + 1
     at = np.cumsum(size) - size
     own = runs[np.repeat(lo - at, size) + np.arange(size.sum())] if len(lo) else runs[:0]
-    distinct = np.array([len(np.unique(own[a : a + n])) for a, n in zip(at, size, strict=True)], np.int64)
+    distinct, marks = np.zeros(len(lo), np.int64), np.zeros((len(lo), PARITY), np.int64)
+    for p, (a, n) in enumerate(zip(at, size, strict=True)):
+        part = np.unique(own[a : a + n])
+        distinct[p], marks[p] = len(part), parity(part)
     keys = np.zeros((len(lo), bands), K.U64)
     if len(lo):
         odd = K.multipliers(bands * rows, 23)
         for b in range(bands):
             for r in range(rows):
                 keys[:, b] = K.mix(keys[:, b] + np.minimum.reduceat(own * odd[b * rows + r], at) + K.U64(b + 1))
-    return text[lo], line[lo], whole, distinct, keys
+    return text[lo], line[lo], whole, distinct, marks, keys
 
 
 def _scan(shingle, least, bands, rows):
     def run(batches):
         for batch in batches:
             for lo, _, data, offsets in K.slices(batch.column(1), 1 << 19):
-                text, line, whole, distinct, keys = paragraphs(data, offsets, shingle, least, bands, rows)
+                text, line, whole, distinct, marks, keys = paragraphs(data, offsets, shingle, least, bands, rows)
                 at = pa.array(lo + text)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(line.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(distinct), lists], names=["id", "th", "at", "node", "n", "bands"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel().view(np.int64))) for x in (marks, keys)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(line.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(distinct), *lists], names=["id", "th", "at", "node", "n", "marks", "bands"])
 
     return run
 
@@ -100,9 +103,9 @@ def drop_near_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text
     bands, rows = tune(similar, recall)
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
     kind = dict(own.dtypes)["id"]
-    found = stash(own.select("id", "text", "th").mapInArrow(_scan(shingle, least, bands, rows), f"id {kind}, th long, at int, node long, n long, bands array<long>"), "paragraphs")
-    nodes = stash(found.groupBy("node").agg(F.min(F.struct("id", "at", "th")).alias("first"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    keys = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"), "n")
+    found = stash(own.select("id", "text", "th").mapInArrow(_scan(shingle, least, bands, rows), f"id {kind}, th long, at int, node long, n long, marks array<long>, bands array<long>"), "paragraphs")
+    nodes = stash(found.groupBy("node").agg(F.min(F.struct("id", "at", "th")).alias("first"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("bands").alias("bands")), "nodes")
+    keys = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"))
 
     def fetch(pairs: DataFrame) -> DataFrame:
         ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
@@ -112,7 +115,7 @@ def drop_near_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("tb")), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, similar), "a long, b long")
 
-    groups = components(linked(keys, similar, fetch))
+    groups = components(linked(keys, nodes.select(F.col("node").alias("id"), "n", "marks"), similar, fetch))
     placed = nodes.join(groups, nodes["node"] == groups["id"], "left").select("node", "first", "c", F.coalesce("component", "node").alias("component"))
     firsts = placed.groupBy("component").agg(F.min("first").alias("kept"), F.sum("c").alias("all")).where("all > 1").select("component", "kept")
     lost = placed.join(firsts, "component").select("node", F.col("kept.id").alias("kept_id"), F.col("kept.at").alias("kept_at"))

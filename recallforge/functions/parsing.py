@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from recallforge.functions.text import clean, clean_json, joined, unique_strings
 
@@ -26,7 +27,7 @@ def json_lenient(x: Column) -> Column:
     return F.coalesce(_valid(t), _valid(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit(""))), F.lit("{}"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _scan_json(texts: pd.Series) -> pd.Series:
     decoder = json.JSONDecoder()
 

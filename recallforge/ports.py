@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class ChatPort(Protocol):
@@ -41,12 +42,20 @@ def call_with_retries(call: Callable[[], str], tries: int = 5, accept: Callable[
     return "", False, error
 
 
+def _also(rows: DataFrame, **columns: str) -> StructType:
+    """Schema of ``rows`` and more columns; the one of ``rows`` itself stays as it is."""
+    out = StructType(list(rows.schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind)
+    return out
+
+
 def chat(rows: DataFrame, open_port: Callable[[], ChatPort], prompt: str = "prompt", tries: int = 5, accept: Callable[[str], bool] = bool, pause: Callable[[int], float] = lambda a: min(2.0 * a, 10.0)) -> DataFrame:
     """Rows with response, ok, error and prompt_key (SHA-256 of the prompt). One port a partition.
 
     Lost executors repeat calls: store responses by prompt_key before use and anti-join them on the next run.
     """
-    schema = rows.schema.add("response", "string").add("ok", "boolean").add("error", "string").add("prompt_key", "string")
+    schema = _also(rows, response="string", ok="boolean", error="string", prompt_key="string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         port = open_port()
@@ -59,7 +68,7 @@ def chat(rows: DataFrame, open_port: Callable[[], ChatPort], prompt: str = "prom
 
 def embed(rows: DataFrame, open_port: Callable[[], EmbedPort], text: str = "text", unit: bool = True) -> DataFrame:
     """Rows with ``embedding`` (floats), a batch at a time; of length 1 if ``unit``, zero vectors stay."""
-    schema = rows.schema.add("embedding", "array<float>")
+    schema = _also(rows, embedding="array<float>")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         port = open_port()
@@ -74,7 +83,7 @@ def embed(rows: DataFrame, open_port: Callable[[], EmbedPort], text: str = "text
 
 def compress(rows: DataFrame, open_port: Callable[[], CompressPort], text: str = "content", rate: float = 0.8) -> DataFrame:
     """Rows with ``compressed``; blank texts stay, an empty answer gives the original."""
-    schema = rows.schema.add("compressed", "string")
+    schema = _also(rows, compressed="string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         port = open_port()

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, FloatType, StructType
 
 
 class ChatPort(Protocol):
@@ -42,7 +42,7 @@ def call_with_retries(call: Callable[[], str], tries: int = 5, accept: Callable[
     return "", False, error
 
 
-def _also(rows: DataFrame, **columns: str) -> StructType:
+def _also(rows: DataFrame, **columns: str | DataType) -> StructType:
     """Schema of ``rows`` and more columns; the one of ``rows`` itself stays as it is."""
     out = StructType(list(rows.schema.fields))
     for name, kind in columns.items():
@@ -68,7 +68,7 @@ def chat(rows: DataFrame, open_port: Callable[[], ChatPort], prompt: str = "prom
 
 def embed(rows: DataFrame, open_port: Callable[[], EmbedPort], text: str = "text", unit: bool = True) -> DataFrame:
     """Rows with ``embedding`` (floats), a batch at a time; of length 1 if ``unit``, zero vectors stay."""
-    schema = _also(rows, embedding="array<float>")
+    schema = _also(rows, embedding=ArrayType(FloatType()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         port = open_port()

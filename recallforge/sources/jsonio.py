@@ -66,3 +66,30 @@ def append_manifest(spark: SparkSession, path: str, run: str, step: str, counts:
     """One row of a run's manifest."""
     items = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(int(v)).cast("long")) for k, v in counts.items()])) if counts else F.create_map().cast("map<string,bigint>")
     spark.range(1).select(F.lit(run).alias("run"), F.lit(step).alias("step"), F.current_timestamp().alias("at"), items.alias("counts")).write.mode("append").parquet(path)
+
+
+def questions_of(items: DataFrame, exclude: tuple[int, ...] = (), per_item: int = 0) -> DataFrame:
+    """Questions of conversation items (sample, qa): their place before the filter, categories not in ``exclude`` (a null category stays), the first ``per_item`` of each (0: all)."""
+    q = items.select("sample", F.posexplode("qa").alias("pos", "q")).select("sample", "pos", "q.*")
+    if exclude:
+        q = q.where(F.col("category").isNull() | ~F.col("category").isin(*exclude))
+    if per_item:
+        q = q.withColumn("__n", F.row_number().over(Window.partitionBy("sample").orderBy("pos"))).where(F.col("__n") <= per_item).drop("__n")
+    return q
+
+
+def banks_of(files: DataFrame, skip: tuple[str, ...] = ("MERGE", "README")) -> DataFrame:
+    """Banks by folder name, without those whose name begins with one of ``skip``."""
+    for s in skip:
+        files = files.where(~F.col("bank").startswith(s))
+    return files
+
+
+def last_wins(parts: list[DataFrame], key: list[str]) -> DataFrame:
+    """Union of tables; of rows with one key the one of the later table stays."""
+    rows = None
+    for i, p in enumerate(parts):
+        p = p.withColumn("__level", F.lit(-i))
+        rows = p if rows is None else rows.unionByName(p)
+    w = Window.partitionBy(*key).orderBy("__level")
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__level")

@@ -90,8 +90,8 @@ COMP_RECORD = f"with {SQL_MESSAGES} select sample, count(distinct window_index)
 
 
 def _entries(spark, d):
-    """Stand-ins for extracted entries: one for every third place, some without content or with a source that is no number."""
-    w = _windows(spark, d).where(F.col("pos") % 3 == 1)
+    """Stand-ins for extracted entries: one for every place, some without content or with a source that is no number."""
+    w = _windows(spark, d)
     source = F.when(F.col("global_idx") % 11 == 0, F.lit("x")).otherwise(F.col("pos").cast("string"))
     content = F.when(F.col("global_idx") % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" m"), F.col("global_idx").cast("string")))
     return w.select("sample", "window_index", source.alias("source_id"), content.alias("content"))
@@ -101,7 +101,7 @@ def normalize_memories(spark, d):
     return G.normalize_memories(_entries(spark, d), _windows(spark, d)).select("sample", "window_index", F.col("source_pos").alias("source_id"), "content", "source_time", "session", F.col("local_idx").cast("int"))
 
 
-_ENTRIES = "e as (select sample, window_index, pos, case when global_idx % 11 = 0 then 'x' else pos::varchar end as source_id, case when global_idx % 7 = 0 then '' else 'm' || global_idx end as content, ts, session, local_idx from wn where pos % 3 = 1)"
+_ENTRIES = "e as (select sample, window_index, pos, case when global_idx % 11 = 0 then 'x' else pos::varchar end as source_id, case when global_idx % 7 = 0 then '' else 'm' || global_idx end as content, ts, session, local_idx from wn)"
 NORMALIZE_MEM = f"with {SQL_MESSAGES}, {_ENTRIES} select sample, window_index::int as window_index, pos::int as source_id, content, {ISO_TS} as source_time, session, local_idx::int as local_idx from e where content <> '' and source_id <> 'x'"
 
 
@@ -121,7 +121,7 @@ def extract_summary(spark, d):
     return w.join(n, ["sample", "window_index"], "left").groupBy("sample").agg(F.count_if(F.col("count") > 0).alias("ok_count"), F.count_if(F.col("count").isNull()).alias("error_count"), F.coalesce(F.sum("count"), F.lit(0)).alias("memory_count"))
 
 
-SUMMARY = f"""with {SQL_MESSAGES}, {_ENTRIES}, c as (select sample, window_index, count(*) filter (where pos % 3 = 1 and global_idx % 7 <> 0 and global_idx % 11 <> 0) as n from wn group by 1, 2)
+SUMMARY = f"""with {SQL_MESSAGES}, {_ENTRIES}, c as (select sample, window_index, count(*) filter (where global_idx % 7 <> 0 and global_idx % 11 <> 0) as n from wn group by 1, 2)
 select sample, count(*) filter (where n > 0) as ok_count, count(*) filter (where n = 0) as error_count, sum(n)::bigint as memory_count from c group by 1"""
 
 

@@ -41,7 +41,15 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def forget(*stashed: DataFrame) -> None:
+    """Delete stashed tables that no plan to come reads."""
+    for df in stashed:
+        _drop_root(df.sparkSession, df._stashed)
 
 
 def small_batches(spark: SparkSession, size: str = "2m") -> None:

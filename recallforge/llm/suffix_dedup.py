@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallforge.llm import _kernel as K
-from recallforge.llm._common import rows_of, small_batches, stash
+from recallforge.llm._common import forget, rows_of, side, small_batches, stash
 
 LENGTH, GRAM = 200, 64
 #: Distinct names of an anchor up to which its texts are sorted in one task.
@@ -243,10 +243,10 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in cols[3]], pa.string()), pa.array(cols[3], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, th, lo, hi): byte spans whose every byte is in a ``length``-byte string that starts elsewhere too; spans of a text may overlap. ``th`` is the xxhash64 of the text."""
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, list[DataFrame]]:
+    """Spans, and the stored tables they are read from (to be forgotten once the spans are). Spans are (id, th, lo, hi): byte spans whose every byte is in a ``length``-byte string that starts elsewhere too; spans of a text may overlap. ``th`` is the xxhash64 of the text."""
     small_batches(docs.sparkSession, "1m")
-    own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")).where(F.octet_length("text") >= length)
+    own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")).where((F.octet_length("text") >= length) & F.col("id").isNotNull())
     kind = dict(own.dtypes)["id"]
     runs = stash(own.select("id", "text", "th").mapInArrow(_anchors(length, gram), f"anchor long, name long, id {kind}, th long, lo long, n long"), "anchors")
     named = runs.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "lo", "n")).alias("rep"))
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     windows = stash(pieces(True).mapInArrow(_window_hashes(length), f"id {kind}, th long, single boolean, lo long, hash long"), "windows")
     twice = windows.groupBy("hash").count().where("count > 1").select("hash")
     hot = windows.where("single").join(twice, "hash", "left_semi").select("id", "th", "lo", (F.col("lo") + length).alias("hi"))
-    return full.unionByName(cold).unionByName(hot)
+    return full.unionByName(cold).unionByName(hot), [runs, named, lists, windows]
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -269,17 +269,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     Every byte in a ``length``-byte string that also starts anywhere else goes, in
     all its places. Null is the empty text; texts shorter than ``length`` keep all.
-    Rows that repeat repeat each other's texts; an empty table gives an empty one;
-    other columns are not read. Strings are told by 64-bit hashes.
+    Rows that repeat repeat each other's texts; rows without a key are looked at by
+    none and keep all; an empty table gives an empty one; other columns are not read. Strings are told by 64-bit hashes.
     """
-    spans = repeated_spans(docs, key, text, length)
     own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     kind = dict(own.dtypes)["id"]
-    lists = stash(spans.distinct().groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")  # bounded by a text's length
-    met = F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))
-    joined = own.join(lists, met, "left")
-    whole = joined.where("spans is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
-    cut = joined.where("spans is not null").select("id", "text", "spans").mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans, temporary = repeated_spans(docs, key, text, length)
+    lists = stash(spans.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")  # bounded by a text's length
+    forget(*temporary)
+    marks = side(lists.select("id", "th"))  # texts that lose nothing are not shuffled where this list is small enough to broadcast
+    whole = own.join(marks, ["id", "th"], "left_anti").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
+    hit = own.join(marks, ["id", "th"], "left_semi").join(lists, ["id", "th"])
+    cut = hit.select("id", "text", "spans").mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return whole.unionByName(cut).withColumnRenamed("id", key)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallforge.llm._common import small_batches, stash
+from recallforge.llm._common import side, small_batches, stash
 
 #: Kinds in their order, patterns, the group whose length counts, its least length. The first three are the base.
 RULES = (
@@ -94,8 +94,10 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id"
     chosen = seen.groupBy("__blob").agg(F.min("__path").alias("__path"))
     if ledger is not None:
         chosen = chosen.join(ledger.where(F.col("rule_version") == version).select(F.col("blob").alias("__blob")).distinct(), "__blob", "left_anti")
-    # A path may have several versions, so a blob is told by both; equal rows of one path are scanned again rather than grouped with their texts.
-    todo = own.join(chosen, ["__blob", "__path"], "left_semi")
+    # A path may have several versions, so a blob is told by both; equal rows of one path are scanned again rather than grouped with their
+    # texts. The list to scan has 16 bytes a blob: while it is small enough to broadcast, no text is shuffled.
+    few = side(stash(chosen.select(F.col("__path").alias("__p"), F.xxhash64("__blob").alias("__h")), "chosen"))
+    todo = own.join(few, F.col("__path").eqNullSafe(F.col("__p")) & (F.xxhash64("__blob") == F.col("__h")), "left_semi")
     found = stash(todo.select("__blob", "__text").mapInArrow(_scan, _FOUND), "found").dropDuplicates(["blob"])
     fresh = chosen.select(F.col("__blob").alias("blob")).join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex")], F.coalesce("base_sha256", F.lit(_NONE)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
     whole = fresh if ledger is None else ledger.unionByName(fresh)

@@ -101,23 +101,30 @@ def side(df: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (long ``a``, ``b``): rows (id, component), component the least id.
 
-    Least labels spread over edges and jump along labels (label of the label), so
-    chains shorten geometrically; stops when nothing changes. A round is one
-    aggregate of edge-sized tables, stashed.
+    Every round a row takes the least label of its neighbours, or the label of
+    that label, and hands it on to the row its own label was, so that whole trees
+    are hooked at their roots and chains shorten geometrically in any order of
+    ids. Labels only fall, so it ends; it stops when nothing changes. A round is
+    two aggregates of edge-sized tables, stashed; labels of earlier rounds are
+    deleted.
     """
     there = edges.where("a <> b").select("a", "b")
     both = stash(there.union(there.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         known = side(labels)
         heard = both.join(known, both["b"] == known["id"]).select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("was"))
         met = heard.union(labels.select("id", "label", F.col("label").alias("was"))).groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         up = known.select(F.col("id").alias("up_id"), F.col("label").alias("up"))
-        new = stash(met.join(F.broadcast(up) if known is not labels else up, met["label"] == F.col("up_id"), "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "was"), "labels")
+        low = met.join(F.broadcast(up) if known is not labels else up, met["label"] == F.col("up_id"), "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "was")
+        told = low.select(F.inline(F.array(F.struct("id", "label", "was"), F.struct(F.col("was").alias("id"), "label", F.lit(None).cast("long").alias("was")))))
+        new = stash(told.groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was")), "labels")
+        forget(labels)
         if new.where("label <> was").limit(1).count() == 0:
+            forget(both)
             return new.select("id", F.col("label").alias("component"))
         labels = new.select("id", "label")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        labels._stashed = new._stashed

@@ -94,6 +94,14 @@ def test_components_of_chains_and_stars(spark):
     assert got == {x: sets.find(x) for p in pairs if p[0] != p[1] for x in p}
 
 
+def test_components_of_shuffled_chains(spark):
+    ids = list(range(400))
+    random.Random(3).shuffle(ids)
+    pairs = list(zip(ids, ids[1:], strict=False)) + [(1000 + a, 1000 + b) for a, b in zip(ids[:90], ids[1:90], strict=False)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: 0 for i in ids} | {1000 + i: 1000 + min(ids[:90]) for i in ids[:90]}
+
+
 def test_ranks_are_gapless(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
     for _, g in with_rank(df, ["k"], [F.col("id")], "r", buckets=7).toPandas().groupby("k"):

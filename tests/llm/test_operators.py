@@ -420,6 +420,25 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == left <= ids
 
 
+def test_slots_of_shards_follow_the_mix(spark, docs, edges):
+    named = docs.withColumn("source", F.when(F.col("doc_id") % 10 == 0, "rare").otherwise("usual"))
+    slots = []
+    for d in (docs, named, edges):
+        kept = corpus_pipeline.mixing(spark, d, SF)
+        got = corpus_pipeline.sharding(spark, kept, SF).toPandas()
+        place = {}
+        for r in MX.mix_sources(d.select("doc_id", "source")).collect():
+            place[r["doc_id"]] = min(place.get(r["doc_id"], (r["slot"], r["place"])), (r["slot"], r["place"]))
+        assert len(got) == d.count()
+        for _, g in got.sort_values("slot").groupby("shard"):
+            assert list(g.slot) == list(range(len(g)))
+            order = [place[i] for i in g.doc_id]
+            assert order == sorted(order)
+        slots.append({r.doc_id: (r.shard, r.slot) for r in got.itertuples()})
+    assert slots[0] != slots[1] and {i: s for i, (s, _) in slots[0].items()} == {i: s for i, (s, _) in slots[1].items()}
+    assert corpus_pipeline.sharding(spark, empty(spark), SF).count() == 0
+
+
 def test_registry():
     names = list(registry.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names[:-1]] == list(range(1, 11)) and names[-1] == "pipeline"

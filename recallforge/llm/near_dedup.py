@@ -4,16 +4,18 @@ A signature has ``CHUNKS`` chunks of ``WIDTH`` b-bit MinHash symbols. Two
 signatures that differ in at most ``2 * CHUNKS - 1`` symbols agree, by the
 pigeonhole principle, in all but at most one symbol of some chunk. Every chunk
 is therefore indexed once for each symbol left out (the one allowed error), and
-equal keys give every pair within that distance. At a Jaccard similarity of 0.8
-a pair exceeds 23 of 60 differing symbols with a probability of 1e-4. All
-candidates are confirmed on full shingle sets.
+equal keys give every pair within that distance, and most pairs beyond it: at a
+Jaccard similarity of 0.8 no chunk agrees so far with a probability of 1.1e-7.
+Candidates whose signatures differ in more symbols than all but 1e-9 of similar
+pairs are left out; all others are confirmed on full shingle sets.
 
 Equal sets are collapsed to one representative first; keys are searched by
-pivots (see that module), within the signature distance.
+pivots (see that module), within that bound.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -26,7 +28,7 @@ from recallforge.llm._common import components, rows_of, small_batches, stash
 from recallforge.llm.pivots import PARITY, linked, parity
 
 CHUNKS, WIDTH = 12, 5
-SYMBOLS, DISTANCE = CHUNKS * WIDTH, 2 * CHUNKS - 1
+SYMBOLS = CHUNKS * WIDTH
 _ODD = K.multipliers(SYMBOLS)
 _LANES = -(-SYMBOLS // 8)
 
@@ -86,6 +88,14 @@ def distance(x: Column, y: Column) -> Column:
     return reduce(lambda a, b: a + b, [differing(i) for i in range(_LANES)])
 
 
+def most(similar: int, miss: float = 1e-9) -> int:
+    """The least number of symbols beyond which signatures of a pair of that similarity differ with a probability of ``miss`` at most (binomial law)."""
+    p, k, beyond = 1 - similar / 100, SYMBOLS, 0.0
+    while k and (beyond := beyond + math.comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k)) <= miss:
+        k -= 1
+    return k
+
+
 def _confirm(n: int, similar: int):
     """Pairs of texts whose full shingle sets have 100 * intersection >= similar * union."""
 
@@ -120,7 +130,7 @@ def links(docs: DataFrame, signs: DataFrame, shingle: int = 2, similar: int = 80
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, similar), "a long, b long")
 
-    return linked(keys, signs.select("id", "n", "marks"), similar, confirm, lambda x, y: distance(x, y) <= DISTANCE, _LANES)
+    return linked(keys, signs.select("id", "n", "marks"), similar, confirm, lambda x, y: distance(x, y) <= most(similar), _LANES)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2, similar: int = 80) -> DataFrame:

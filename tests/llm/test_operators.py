@@ -190,6 +190,16 @@ def test_near_duplicates_of_a_large_group_and_of_nothing(spark):
     assert ND.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_whose_signatures_differ_more(spark):
+    rows = []
+    for seed in (11749, 25652, 27363, 27421):  # similarity 0.8, signatures differ in 24 to 26 symbols, a chunk is shared
+        rng = random.Random(seed)
+        w = [f"v{rng.randrange(10**9)}" for _ in range(50)]
+        rows += [(2 * seed, " ".join(w[:45])), (2 * seed + 1, " ".join(w[:40] + w[45:]))]
+    got = ND.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == len(rows)
+
+
 # 4
 def test_shards(spark, docs, edges):
     for d in (docs, edges):

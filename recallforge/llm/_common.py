@@ -18,10 +18,14 @@ _ROOTS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; a temporary one of our own only where that is unset."""
+    """A folder of this application below ``spark.checkpoint.dir``; where that is unset a temporary one, but only if all runs on one machine (else ValueError)."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recallforge-")
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            top = tempfile.mkdtemp(prefix="recallforge-")
         _ROOTS[app] = f"{top.rstrip('/')}/recallforge-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_drop_root, spark, _ROOTS[app])
     return _ROOTS[app]
@@ -52,9 +56,9 @@ def forget(*stashed: DataFrame) -> None:
         _drop_root(df.sparkSession, df._stashed)
 
 
-def small_batches(spark: SparkSession, size: str = "2m") -> None:
-    """Bound the bytes of one Arrow batch, so that very long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of one Arrow batch, so that very long texts cannot fill a Python worker. All operators set the same bound, so their order does not matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
 
 
 def rows_of(df: DataFrame, ids: DataFrame, key: str, limit: int = MAX_BROADCAST_IDS) -> DataFrame:

@@ -125,6 +125,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, gap: np.ndarray
             yield np.zeros(0, U64)
 
 
+def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
+    """Place of the least (the first of equal ones) of every ``w`` consecutive values, by windows that double."""
+    at, span = np.arange(len(x)), 1
+    if len(x) < w:
+        return at[:0]
+    while span < w:
+        step = min(span, w - span)
+        left, right = at[:-step], at[step:]
+        at = np.where(x[right] < x[left], right, left)
+        span += step
+    return at
+
+
 def multipliers(k: int, seed: int = 11) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**63, k, dtype=U64) * U64(2) + U64(1)
 

@@ -40,8 +40,7 @@ def winnow(sums: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple[n
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, K.U64)
     inside = np.flatnonzero(owner[:n] == owner[window - 1 :])
-    least = np.lib.stride_tricks.sliding_window_view(grams, span)[inside].argmin(axis=1)
-    at = np.unique(inside + least)
+    at = np.unique(K.sliding_argmin(grams, span)[inside])
     return owner[at], grams[at]
 
 

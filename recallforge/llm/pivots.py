@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from recallforge.llm._common import components, stash
 
-#: 64-bit words of a parity sketch.
-PARITY = 8
+#: 64-bit words of a parity sketch; open rows of a key up to which they are paired in one task.
+PARITY, SLICE = 8, 500
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -54,8 +54,13 @@ def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[D
     groups = components(first)
     rest = stash(members.where("id <> pivot").select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "rest")
     still = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-    open_rows = stash(rest.join(still, "key", "left_semi").join(marks, "id"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y"))
+    # A key with many open rows is cut into slices by hash of the row; each pair of slices is a key of its own, so that no task has all pairs of a key.
+    cuts = rest.join(still, "key", "left_semi").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("cuts"))
+    open_rows = stash(rest.join(cuts, "key").withColumn("slice", F.pmod(F.xxhash64("id"), "cuts").cast("int")).join(marks, "id"), "open")
+    every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    x = open_rows.select("*", every.alias("other")).alias("x")
+    y = open_rows.select("*", every.alias("other")).alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.other")) & (F.col("x.other") == F.col("y.slice"))
+    more = x.join(y, met & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y"))
     later = stash(confirm(stash(more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")), "links")
     return first.unionByName(later)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallforge.functions.text import tokens
+from recallforge.functions.text import joined, tokens
+from recallforge.ports import TokenCountEmbedder, embed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +94,24 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).where(F.col("record_idx") % 50 == 0).select(F.col("record_idx").alias("query_id"), "bank", F.col("embedding").alias("vector"))
 
 
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a vector of their content, reason and purpose, by the embedding port that SQL can follow."""
+    m = memories(spark, sf_dir).select("bank", "record_idx", joined(" ", F.col("content"), F.col("reason"), F.col("purpose")).alias("text"))
+    return embed(m, TokenCountEmbedder, unit=False).drop("text")
+
+
+def anchor_vectors(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    """Queries with a vector of their anchor alone."""
+    q = (queries(spark, sf_dir) if asked is None else asked).select("query_id", "bank", F.col("anchor").alias("text"))
+    return embed(q, TokenCountEmbedder, unit=False).select("query_id", "bank", F.col("embedding").alias("vector"))
+
+
+_BUCKETS = "list_transform(range(0, 32), lambda b: len(list_filter({0}, lambda t: (7 * len(t) + 3 * ascii(t) + ascii(right(t, 1))) % 32 = b))::double)"
+SQL_VECTORS = f"""mv as (select bank, record_idx, {_BUCKETS.format(_TOK.format("content || ' ' || reason"))} as v from mem),
+qv as (select query_id, bank, {_BUCKETS.format(_TOK.format("anchor"))} as w from q),
+ds as (select query_id, bank, record_idx, round(case when list_sum(v) = 0 or list_sum(w) = 0 then 0 else list_cosine_similarity(v, w) end, 9) as score from mv join qv using (bank))"""
+
+
 def quote(x: str | None) -> str:
     return "null" if x is None else "'" + x.replace("'", "''") + "'"
 

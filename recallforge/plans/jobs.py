@@ -54,7 +54,7 @@ def analyse(questions: DataFrame, open_port: Callable[[], ChatPort], template: s
 
 def retrieve(memories: DataFrame, parsed: DataFrame, vectors: DataFrame | None = None, k: int = 15, order: tuple[str, ...] = ("bm25", "structured", "dense"), cap: int = 0) -> DataFrame:
     """Fused rows of the routes in ``order``; the dense one needs ``vectors`` (bank, record_idx, embedding) and parsed queries with ``vector``."""
-    lists = {"bm25": R.search_bm25(memories, parsed, k), "structured": R.top_k(R.structured_scores(memories, parsed), k)}
+    lists = {"bm25": R.search_bm25(memories, parsed, k), "structured": R.search_structured(memories, parsed, k)}
     if vectors is not None:
         lists["dense"] = R.search_dense(vectors, parsed.select("query_id", "bank", "vector"), k)
     rows = None

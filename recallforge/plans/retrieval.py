@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recallforge.functions.text import normalize_content, token_set
 from recallforge.operators import retrieve as R
-from recallforge.plans.fixtures import SQL_MEM, SQL_MESSAGES, SQL_Q, SQL_TC, TC_MEETS, memories, queries, vector_queries, vectors
+from recallforge.plans.fixtures import SQL_MEM, SQL_MESSAGES, SQL_Q, SQL_TC, SQL_VECTORS, TC_MEETS, anchor_vectors, memories, queries, text_vectors, vector_queries, vectors
 
 K = 15
 
@@ -71,16 +71,35 @@ def _dense_sql(f, k):
     return f"with {_V}, s as (select a.record_idx as query_id, a.bank, b.record_idx, round({f}(a.e, b.e), 9) as score from v a join v b using (bank) where a.record_idx % 50 = 0) select query_id, record_idx, {_RANK}, score from s {_TOP.format(k=k)}"
 
 
+def _counts(spark, d):
+    full = memories(spark, d).select("bank", "record_idx", R.full_text().alias("full"))
+    q = queries(spark, d).withColumn("wanted", token_set(F.array_join("keywords", " ")))
+    return R.part_counts(full, q, {"phrase": F.transform("keywords", F.lower)}, {"token": F.col("wanted")}).join(q.select("query_id", "bank", F.size("keywords").alias("phrases"), F.size("wanted").alias("tokens")), ["query_id", "bank"])
+
+
 def keyword_phrase_score(spark, d):
-    m = memories(spark, d).select("bank", "record_idx", R.full_text().alias("full"))
-    x = R.per_bank(m, queries(spark, d).select("query_id", "bank", "keywords"))
-    return x.select("query_id", "bank", "record_idx", F.round(R.phrase_score(F.col("keywords"), F.col("full")), 9).alias("score")).where("score > 0")
+    return _counts(spark, d).where("n_phrase > 0").select("query_id", "bank", "record_idx", F.round(F.col("n_phrase") / F.col("phrases"), 9).alias("score"))
 
 
 def keyword_token_overlap(spark, d):
-    m = memories(spark, d).select("bank", "record_idx", token_set(R.full_text()).alias("have"))
-    x = R.per_bank(m, queries(spark, d).select("query_id", "bank", token_set(F.array_join("keywords", " ")).alias("wanted")))
-    return x.select("query_id", "bank", "record_idx", F.round(R.overlap_score(F.col("wanted"), F.col("have")), 9).alias("score")).where("score > 0")
+    return _counts(spark, d).where("n_token > 0").select("query_id", "bank", "record_idx", F.round(F.col("n_token") / F.col("tokens"), 9).alias("score"))
+
+
+def answer_field_score(spark, d):
+    """Four fields in turn; the empty ones score 0."""
+    q = queries(spark, d)
+    field = F.element_at(F.array(*[F.lit(x) for x in ("Content", "location", "reason", "keywords")]), (F.col("query_id") % 4 + 1).cast("int"))
+    return R.answer_field_score(memories(spark, d), q.select("query_id", "bank", field.alias("answer_field")))
+
+
+FIELD = f"with {SQL_MEM}, {SQL_Q} select query_id, bank, record_idx, case query_id % 4 when 0 then (trim(content) <> '')::int when 1 then 0 when 2 then (trim(coalesce(reason, '')) <> '')::int else (len(mem.keywords) > 0)::int end::double as score from mem join q using (bank)"
+
+
+def dense_text_topk(spark, d):
+    return R.search_dense(text_vectors(spark, d), anchor_vectors(spark, d), K).select("query_id", "bank", "record_idx", "rank", _r())
+
+
+DENSE_TEXT = f"with {SQL_MEM}, {SQL_Q}, {SQL_VECTORS} select query_id, bank, record_idx, {_RANK}, score from ds {_TOP.format(k=K)}"
 
 
 _FULL = "lower(array_to_string(list_filter([trim(content), array_to_string(keywords, ' '), reason, array_to_string(keywords, ' ')], lambda s: s <> ''), ' | '))"
@@ -106,7 +125,7 @@ STRUCT = f"with {SQL_MEM}, {SQL_Q}, {_STRUCT} select query_id, bank, record_idx,
 
 
 def structured_topk(spark, d):
-    return R.top_k(R.structured_scores(memories(spark, d), queries(spark, d)), K).select("query_id", "bank", "record_idx", "rank", _r())
+    return R.search_structured(memories(spark, d), queries(spark, d), K).select("query_id", "bank", "record_idx", "rank", _r())
 
 
 STRUCT_TOPK = f"with {SQL_MEM}, {SQL_Q}, {_STRUCT} select query_id, bank, record_idx, {_RANK}, score from ss {_TOP.format(k=K)}"
@@ -123,7 +142,7 @@ def structured_lexical_score(spark, d):
 
 
 def structured_lexical_topk(spark, d):
-    return R.top_k(R.lexical_scores(memories(spark, d), queries(spark, d)), 40).select("query_id", "bank", "record_idx", "rank", _r())
+    return R.search_lexical(memories(spark, d), queries(spark, d), 40).select("query_id", "bank", "record_idx", "rank", _r())
 
 
 LEX_SCORE = f"with {SQL_MEM}, {SQL_Q}, {_LEX} select query_id, bank, record_idx, score from ls where score > 0"
@@ -143,16 +162,16 @@ TC_FILTER = f"with {SQL_MEM}, {SQL_Q}, {SQL_TC} select query_id, bank, count(*)
 
 
 def _routes(spark, d):
-    """Ranked lists of three routes with their contents; the lexical route stands in for a dense one, as text embeddings need a model."""
+    """Ranked lists of three routes with their contents."""
     m, q = memories(spark, d), queries(spark, d)
-    lists = [("bm25", R.search_bm25(m, q, K)), ("structured", R.top_k(R.structured_scores(m, q), K)), ("dense", R.top_k(R.lexical_scores(m, q), K))]
+    lists = [("bm25", R.search_bm25(m, q, K)), ("structured", R.search_structured(m, q, K)), ("dense", R.search_dense(text_vectors(spark, d), anchor_vectors(spark, d, q), K))]
     rows = [x.select("query_id", "bank", F.lit(n).alias("route"), "rank", _r(), "record_idx") for n, x in lists]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).join(m.select("bank", "record_idx", "content"), ["bank", "record_idx"])
 
 
-_ROUTES = f"""{_SCORES}, {_BM_ALL}, {_STRUCT}, {_LEX},
+_ROUTES = f"""{_SCORES}, {_BM_ALL}, {_STRUCT}, {SQL_VECTORS},
 rt as (select 'bm25' as route, query_id, bank, record_idx, {_RANK}, score from bm {_TOP.format(k=K)}
- union all select 'structured', query_id, bank, record_idx, {_RANK}, score from ss {_TOP.format(k=K)} union all select 'dense', query_id, bank, record_idx, {_RANK}, score from ls {_TOP.format(k=K)}),
+ union all select 'structured', query_id, bank, record_idx, {_RANK}, score from ss {_TOP.format(k=K)} union all select 'dense', query_id, bank, record_idx, {_RANK}, score from ds {_TOP.format(k=K)}),
 rc as (select rt.*, content from rt join mem using (bank, record_idx))"""
 
 
@@ -202,7 +221,7 @@ def route_dispatch(spark, d):
     m = memories(spark, d)
     take = lambda r: q.where(F.col("route") == r)
     fused = R.fuse(_routes(spark, d), ["bm25", "structured", "dense"]).join(take("fused").select("query_id", "bank"), ["query_id", "bank"], "left_semi")
-    parts = [R.search_bm25(m, take("bm25"), K).withColumn("route", F.lit("bm25")), R.top_k(R.structured_scores(m, take("structured")), K).withColumn("route", F.lit("structured")), R.top_k(R.lexical_scores(m, take("dense")), K).withColumn("route", F.lit("dense")), fused.withColumnRenamed("position", "rank").withColumn("route", F.lit("fused"))]
+    parts = [R.search_bm25(m, take("bm25"), K).withColumn("route", F.lit("bm25")), R.search_structured(m, take("structured"), K).withColumn("route", F.lit("structured")), R.search_dense(text_vectors(spark, d), anchor_vectors(spark, d, take("dense")), K).withColumn("route", F.lit("dense")), fused.withColumnRenamed("position", "rank").withColumn("route", F.lit("fused"))]
     out = [p.select("query_id", "bank", "route", "rank", "record_idx") for p in parts]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
@@ -247,5 +266,5 @@ QUERIES = {
     "dense_dot_topk": (dense_dot_topk, _dense_sql("list_dot_product", 40)), "keyword_phrase_score": (keyword_phrase_score, PHRASE), "keyword_token_overlap": (keyword_token_overlap, TOKEN), "structured_score": (structured_score, STRUCT),
     "structured_topk": (structured_topk, STRUCT_TOPK), "structured_lexical_score": (structured_lexical_score, LEX_SCORE), "structured_lexical_topk": (structured_lexical_topk, LEX_TOPK), "time_constraint_match": (time_constraint_match, TC_MATCH),
     "time_constraint_filter": (time_constraint_filter, TC_FILTER), "fusion_content_dedup": (fusion_content_dedup, FUSION), "merge_three_routes": (merge_three_routes, THREE), "merge_two_routes": (merge_two_routes, TWO),
-    "merge_route_counts": (merge_route_counts, ROUTE_COUNTS), "route_dispatch": (route_dispatch, DISPATCH), "format_memories": (format_memories, FORMAT), "attach_assistant_context": (attach_assistant_context, ATTACH),
+    "answer_field_score": (answer_field_score, FIELD), "dense_text_topk": (dense_text_topk, DENSE_TEXT), "merge_route_counts": (merge_route_counts, ROUTE_COUNTS), "route_dispatch": (route_dispatch, DISPATCH), "format_memories": (format_memories, FORMAT), "attach_assistant_context": (attach_assistant_context, ATTACH),
 }

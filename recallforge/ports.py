@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -114,6 +117,69 @@ class HashEmbedder:
         return out
 
 
+class TokenCountEmbedder:
+    """Deterministic embedding of ``size`` whole numbers that SQL can express too: how many tokens fall in each bucket, by their length and their first and last characters."""
+
+    def __init__(self, size: int = 32):
+        self.size = size
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.size), np.float32)
+        for i, t in enumerate(texts):
+            for w in re.findall("[a-z0-9]+", t.lower()):
+                out[i, (7 * len(w) + 3 * ord(w[0]) + ord(w[-1])) % self.size] += 1
+        return out
+
+
+class HttpChat:
+    """Chat over HTTP by the chat-completions protocol: POST <base>/chat/completions; ``usage`` holds the token counts of the last answer. Parameters of None are not sent."""
+
+    def __init__(self, base: str, model: str, key: str = "", timeout: float = 300.0, temperature: float | None = 0.0, top_p: float | None = None, max_tokens: int | None = None, open_url: Callable = urllib.request.urlopen):
+        self.url, self.key, self.timeout, self.open_url = base.rstrip("/") + "/chat/completions", key, timeout, open_url
+        self.body = {k: v for k, v in (("model", model), ("temperature", temperature), ("top_p", top_p), ("max_tokens", max_tokens)) if v is not None}
+        self.usage: dict[str, int] = {}
+
+    def __call__(self, prompt: str) -> str:
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        asked = urllib.request.Request(self.url, json.dumps(self.body | {"messages": [{"role": "user", "content": prompt}]}).encode(), head)
+        with self.open_url(asked, timeout=self.timeout) as got:
+            reply = json.loads(got.read())
+        self.usage = {k: int((reply.get("usage") or {}).get(k) or 0) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
+        choices = reply.get("choices") or [{}]
+        return (choices[0].get("message") or {}).get("content") or ""
+
+
+class OnnxEmbedder:
+    """Sentence vectors of an ONNX encoder: token states averaged under the mask, scaled to length 1. ``tokenizer`` and ``model`` are paths that every executor can read."""
+
+    def __init__(self, model: str, tokenizer: str, max_tokens: int = 256, batch: int = 512, session: Callable | None = None, encode: Callable | None = None):
+        if session is None:
+            import onnxruntime
+
+            session = onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"])
+        if encode is None:
+            from tokenizers import Tokenizer
+
+            reader = Tokenizer.from_file(tokenizer)
+            reader.enable_truncation(max_tokens)
+            reader.enable_padding()
+            encode = lambda texts: [(e.ids, e.attention_mask) for e in reader.encode_batch(texts)]
+        self.session, self.encode, self.batch = session, encode, batch
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = []
+        names = {i.name for i in self.session.get_inputs()}
+        for at in range(0, len(texts), self.batch):
+            coded = self.encode(texts[at : at + self.batch])
+            ids, mask = np.array([c[0] for c in coded], np.int64), np.array([c[1] for c in coded], np.int64)
+            given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+            states = self.session.run(None, {k: v for k, v in given.items() if k in names})[0]
+            mean = (states * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)[:, None]
+            size = np.linalg.norm(mean, axis=1, keepdims=True)
+            out.append(np.divide(mean, size, out=np.zeros_like(mean), where=size > 0).astype(np.float32))
+        return np.concatenate(out) if out else np.zeros((0, 0), np.float32)
+
+
 class EchoChat:
     """Answers every prompt with a fixed text or a function of the prompt."""
 

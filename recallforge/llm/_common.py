@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 MAX_BROADCAST_IDS = 1_000_000
 
 _ROOTS: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,6 +48,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path
+    _MADE.append(path)
+    return out
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """``stash``, and delete all that was stashed before: for results that need nothing else of what led to them."""
+    before = list(_MADE)
+    out = stash(df, label)
+    for path in before:
+        _drop_root(df.sparkSession, path)
+    del _MADE[: len(before)]
     return out
 
 
@@ -95,9 +107,9 @@ def with_rank(df: DataFrame, key: list[str], order: list[Column], out: str, size
     return got.withColumn(out, (F.col("__off") + F.col("__to")).cast("long")).drop("__bucket", "__to", "__off", "__kb", *names)
 
 
-def bucket_count(rows: int, per_bucket: int = 20_000) -> int:
-    """Buckets of about ``per_bucket`` rows: grows with the data, 16 at least."""
-    return max(16, -(-rows // per_bucket))
+def bucket_count(rows: int, per_bucket: int = 5_000, least: int = 128) -> int:
+    """Buckets of about ``per_bucket`` rows: grows with the data. With ``least`` buckets a key that holds a third of all rows is cut finely too."""
+    return max(least, -(-rows // per_bucket))
 
 
 def side(df: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame:

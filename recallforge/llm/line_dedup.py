@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallforge.llm._common import stash
+from recallforge.llm._common import MAX_BROADCAST_IDS, side, stash
 
 #: Distinct sites from which a line is boilerplate; size of a sketch (its standard error is 1.04 / sqrt(2 ** LG_K)); estimates so near, in standard errors, are counted.
 SITES, LG_K, NEAR = 5, 12, 6
@@ -24,11 +24,11 @@ def without(line_array: Column, dropped: Column) -> Column:
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """(h, g) of the lines of ``lines`` (h, g, site) that stand on at least ``sites`` distinct sites; null sites do not count."""
-    often = lines.groupBy("h", "g").count().where(F.col("count") >= sites).drop("count")
-    met = lines.where("site is not null").join(often, ["h", "g"])
+    often = stash(lines.groupBy("h", "g").count().where(F.col("count") >= sites).drop("count"), "often")
+    met = lines.where("site is not null").join(side(often), ["h", "g"])
     sketched = stash(met.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate")), "sketches")
     margin = max(1.0, NEAR * 1.04 / 2 ** (LG_K / 2) * sites)
-    near = sketched.where(F.abs(F.col("estimate") - sites) <= margin).select("h", "g")
+    near = side(sketched.where(F.abs(F.col("estimate") - sites) <= margin).select("h", "g"))
     exact = lines.where("site is not null").join(near, ["h", "g"]).groupBy("h", "g").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= sites).select("h", "g")
     return sketched.where(F.col("estimate") > sites + margin).select("h", "g").unionByName(exact)
 
@@ -44,9 +44,11 @@ def drop_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(site).cast("string").alias("site")).withColumn("th", F.xxhash64("text"))
     line = own.where("text is not null").select("id", "th", "site", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     lines = stash(line.select("id", "th", "site", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")), "lines")
-    hits = lines.join(boilerplate(lines, sites), ["h", "g"])
-    dropped = hits.groupBy(F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.collect_set("at").alias("dropped"))
-    met = own.join(dropped, F.col("id").eqNullSafe(F.col("id2")) & F.col("th").eqNullSafe(F.col("th2")), "left")
+    hits = lines.join(side(stash(boilerplate(lines, sites), "boilerplate")), ["h", "g"])
+    dropped = stash(hits.groupBy(F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.collect_set("at").alias("dropped")), "dropped")
+    # Texts are not shuffled where the numbers of all dropped lines are few enough to broadcast.
+    few = dropped.agg(F.coalesce(F.sum(F.size("dropped") + 2), F.lit(0))).first()[0] <= MAX_BROADCAST_IDS
+    met = own.join(F.broadcast(dropped) if few else dropped, F.col("id").eqNullSafe(F.col("id2")) & F.col("th").eqNullSafe(F.col("th2")), "left")
     parts = met.withColumn("lines", F.split("text", "\n", -1))
     full = F.size(F.filter(F.coalesce("lines", F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return parts.select(

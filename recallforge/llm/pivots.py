@@ -1,8 +1,10 @@
 """Links among rows that share index keys, without all pairs of a key.
 
-The rows of a key are first compared with a pivot, its least row. In keys whose
-other rows are then still in different components, rows of different components
-are paired; bounds that lose no link keep all but likely pairs from leaving the join.
+The rows of a key are first compared with a pivot, its least row: a row with the
+pivot of its largest key, then with those of other keys that are still in other
+components. In keys whose other rows are then still in different components, rows
+of different components are paired; bounds that lose no link keep all but likely
+pairs from leaving the join.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallforge.llm._common import components, stash
+from recallforge.llm._common import components, side, stash
 
 #: 64-bit words of a parity sketch; open rows of a key up to which they are paired in one task.
 PARITY, SLICE = 8, 500
@@ -46,12 +48,21 @@ def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[D
         bound = (100 * F.least(n, m) >= similar * F.greatest(n, m)) & ((100 + similar) * parity_bits(a, b, at) <= (100 - similar) * (n + m))
         return bound if near is None else bound & near(a, b)
 
-    pivots = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1").select("key", "pivot")
-    members = stash(keys.join(pivots, "key").select("key", "id", "pivot"), "members")
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stars.join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id")).where(likely("x", "y")).select("a", "b")
-    first = stash(confirm(stash(pairs, "pairs")), "links")
-    groups = components(first)
+    def compared(stars: DataFrame) -> DataFrame:
+        met = stars.where("a <> b").distinct().join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id"))
+        return stash(confirm(stash(met.where(likely("x", "y")).select("a", "b"), "pairs")), "links")
+
+    pivots = stash(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1"), "pivots")
+    members = stash(keys.join(side(pivots), "key").select("key", "id", "pivot", "c"), "members")
+    # First every row with the pivot of its largest key only, as rows of one group share most keys; then with pivots of other keys that are in other components.
+    largest = members.groupBy("id").agg(F.max(F.struct("c", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("id").alias("b"))
+    links = compared(largest)
+    known = components(links)
+    own = side(known.select("id", F.col("component").alias("of_id")))
+    of_pivot = side(known.select(F.col("id").alias("pivot"), F.col("component").alias("of_pivot")))
+    apart = members.join(own, "id", "left").join(of_pivot, "pivot", "left").where(F.coalesce("of_id", "id") != F.coalesce("of_pivot", "pivot"))
+    first = links.unionByName(compared(apart.select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
+    groups = side(components(first))
     rest = stash(members.where("id <> pivot").select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "rest")
     still = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
     # A key with many open rows is cut into slices by hash of the row; each pair of slices is a key of its own, so that no task has all pairs of a key.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recallforge.llm._common import stash, with_rank
+from recallforge.llm._common import side, stash, with_rank
 
 #: Parts of an admission order: hubs by hash, then parts of a hub.
 LEVELS, PARTS = 512, 16
@@ -30,10 +30,10 @@ def propagate(linked: DataFrame, quota: int, shards: int, rounds: int) -> DataFr
         load = {r["shard"]: r["load"] for r in linked.groupBy("shard").agg(F.sum("size").alias("load")).collect()}  # ``shards`` rows
         room = [max(0, quota - load.get(s, 0)) for s in range(shards)]
         room = [r if r * PARTS >= quota else 0 for r in room]  # a shard with less than a part's room is full, so that what a large hub has left goes on elsewhere
-        votes = linked.groupBy("hub", "shard").agg(F.sum("size").alias("votes"))
+        votes = stash(linked.groupBy("hub", "shard").agg(F.sum("size").alias("votes")), "votes")  # far fewer than rows: broadcast if so few as that is safe, so that a large hub is not one task
         best = votes.where(_pick(room, F.col("shard")) > 0).groupBy("hub").agg(F.max(F.struct("votes", (-F.col("shard")).alias("minus"))).alias("best"))
         gain = (F.col("best.votes") > F.col("votes")) | ((F.col("best.votes") == F.col("votes")) & (-F.col("best.minus") < F.col("shard")))
-        moves = linked.join(votes, ["hub", "shard"]).join(best, "hub", "left")
+        moves = linked.join(side(votes), ["hub", "shard"]).join(side(best), "hub", "left")
         moves = moves.withColumn("target", F.when(gain, -F.col("best.minus"))).drop("votes", "best")
         level = F.pmod(F.xxhash64("hub", F.lit(turn)), F.lit(LEVELS)).cast("int")
         moves = stash(moves.withColumn("level", level * PARTS + F.pmod(F.xxhash64("id", "hub"), F.lit(PARTS)).cast("int")), "moves")

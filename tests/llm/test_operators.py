@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -280,28 +281,76 @@ def test_boilerplate_lines(spark, docs, edges):
 
 
 # 7
+def lines_of(t):
+    return re.findall(r"[^\n]*\n|[^\n]+$", t or "")
+
+
+def brute_paragraphs(rows, least=20, n=5, similar=80):
+    """{(key, place)} of paragraphs with a near-copy elsewhere, and of those that go; rows (id, text) without repeats, null ids last."""
+    parts = {}
+    for k, (i, t) in enumerate(rows):
+        for j, line in enumerate(lines_of(t)):
+            w = words(line)
+            if len(w) >= least:
+                parts[k, j] = {tuple(w[x : x + n]) for x in range(len(w) - n + 1)}
+    groups, ids = Sets(parts), sorted(parts)
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            both = len(parts[a] & parts[b])
+            if both and 100 * both >= similar * len(parts[a] | parts[b]):
+                groups.join(a, b)
+    size = Counter(groups.find(x) for x in ids)
+    return {x for x in ids if size[groups.find(x)] > 1}, {x for x in ids if groups.find(x) != x}
+
+
+def distinct_rows(d):
+    rows = {(r["doc_id"], r["text"]) for r in d.collect()}
+    return sorted(rows, key=lambda r: (r[0] is None, r[0], r[1] or ""))
+
+
 def test_near_paragraphs(spark, docs, edges):
     assert SD.tune(80, 0.999) == (10, 3)
-    for d in (docs, edges.dropDuplicates(["doc_id"])):
-        texts = {r["doc_id"]: r["text"] for r in d.collect()}
-        parts = {}
-        for i, t in texts.items():
-            for j, line in enumerate((t or "").split("\n")):
-                w = words(line)
-                if len(w) >= 20:
-                    parts[i, j] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-        groups, ids = Sets(parts), sorted(parts)
-        for x, a in enumerate(ids):
-            for b in ids[:x]:
-                both = len(parts[a] & parts[b])
-                if both and 100 * both >= 80 * len(parts[a] | parts[b]):
-                    groups.join(a, b)
-        want = {i: None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in parts or groups.find((i, j)) == (i, j)) for i, t in texts.items()}
-        for i, rs in rows_by_id(SD.drop_near_paragraphs(d)).items():
-            assert all(r["text"] == want[i] for r in rs), i
+    passage = " ".join(f"p{i}" for i in range(60))
+    odd = edges.unionByName(spark.createDataFrame([(None, passage + "\nnull key"), (None, "x " + passage), (None, None)], "doc_id long, text string"), allowMissingColumns=True)
+    for d in (docs, odd):
+        rows = distinct_rows(d)
+        near, lost = brute_paragraphs(rows)
+        want = {(i, t): (None if t is None else "".join(x for j, x in enumerate(lines_of(t)) if (k, j) not in lost), sum(a == k for a, _ in near), sum(a == k for a, _ in lost)) for k, (i, t) in enumerate(rows)}
+        got = Counter((r["doc_id"], r["text"], r["n_linked"], r["n_removed"]) for r in SD.drop_near_paragraphs(d, block=10**6).collect())
+        assert got == Counter((r["doc_id"], *want[r["doc_id"], r["text"]]) for r in d.collect())
     assert SD.drop_near_paragraphs(empty(spark)).count() == 0
 
 
+def test_equal_passages_are_found_wherever_they_stand(spark, docs, edges):
+    rng = random.Random(9)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    rows, share = [], []
+    for k in range(60):
+        own = fresh(51 + k % 9)
+        for side in (0, 1):
+            w = fresh(rng.randrange(70)) + own + fresh(rng.randrange(70))
+            rows.append((2 * k + side, "".join(x + rng.choice(" \n  \t") if rng.random() < 0.2 else x + " " for x in w)))
+            share.append(set(own))
+    rows += [(500 + k, " ".join(fresh(20) + [f"common{i}" for i in range(30)] + fresh(20))) for k in range(9)]  # a run too short to be a passage
+    got = {r["doc_id"]: r for r in SD.drop_near_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), least=10**6).collect()}
+    assert all(got[i]["n_passages"] > 0 for i in range(120)) and all(got[i]["n_passages"] == 0 for i in range(500, 509))
+    for i, t in rows:
+        gone = Counter(words(t)) - Counter(words(got[i]["text"]))
+        assert not gone if i % 2 == 0 or i >= 500 else len(gone) >= 36 and set(gone) <= share[i]
+    for d in (docs, edges):
+        rows = distinct_rows(d)
+        runs = defaultdict(set)
+        for n in (36, 51):
+            for k, (_, t) in enumerate(rows):
+                w = words(t)
+                for j in range(len(w) - n + 1):
+                    runs[tuple(w[j : j + n])].add(k)
+        least, most = ({k for r, ks in runs.items() if len(r) == n and len(ks) > 1 for k in ks} for n in (51, 36))
+        found = {(r["doc_id"], r["n_passages"] > 0) for r in SD.drop_near_paragraphs(d).collect()}
+        hit = {k for k, (i, _) in enumerate(rows) if (i, True) in found}
+        assert least <= hit <= most
+
+
 # 8
 def brute_hits(texts, items):
     strict = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -367,15 +416,44 @@ def test_ledger_is_not_scanned_again(spark):
 
 
 # 10
-def test_pfair_keeps_within_a_block():
+def slots_of(blocks, weights):
+    out = []
+    for p in MX.schedule(blocks, weights):
+        out += [(p["start"] + j // p["each"] * p["period"] + p["offsets"][j % p["each"]], p["source"], p["first"] + j) for j in range(p["end"] - p["first"])]
+    return sorted(out)
+
+
+def worst_deviation(order, blocks, weights):
+    """Most blocks by which a source is off its fluid share at any slot; sources share by weight and leave as they run out."""
+    got, fluid, worst = [0] * len(blocks), [Fraction(0)] * len(blocks), Fraction(0)
+    for s in order:
+        got[s] += 1
+        time = Fraction(1)
+        while time > 0:
+            left = [i for i, b in enumerate(blocks) if fluid[i] < b]
+            total = sum(weights[i] for i in left)
+            step = min(time, min((blocks[i] - fluid[i]) * total / weights[i] for i in left))
+            for i in left:
+                fluid[i] += step * weights[i] / total
+            time -= step
+        worst = max(worst, *(abs(g - f) for g, f in zip(got, fluid, strict=True)))
+    return worst
+
+
+def test_pfair_keeps_within_a_block_to_the_end():
     rng = random.Random(6)
-    for _ in range(40):
-        w = [rng.randint(1, 30) for _ in range(rng.randint(1, 7))]
-        order, done = MX.period(w), Counter()
-        assert Counter(order) == Counter({i: n for i, n in enumerate(w)})
-        for t, s in enumerate(order, 1):
-            done[s] += 1
-            assert all(abs(done[i] - t * n / sum(w)) < 1 for i, n in enumerate(w))
+    for _ in range(60):
+        n = rng.randint(1, 8)
+        w, blocks = [rng.randint(1, 30) for _ in range(n)], [rng.randrange(1, 120) for _ in range(n)]
+        order = [s for _, s, _ in slots_of(blocks, w)]
+        assert Counter(order) == Counter(dict(enumerate(blocks))) and worst_deviation(order, blocks, w) < 1
+
+
+def test_long_runs_repeat_a_period():
+    pieces = MX.schedule([3_000_000, 2_000_000, 50, 7_000_000], [3, 2, 5, 1])
+    assert sum(len(p["offsets"]) for p in pieces) < 2_000 and sum(p["end"] - p["first"] for p in pieces) == 12_000_050
+    for blocks, w in (([400, 300, 7, 900], [3, 2, 5, 1]), ([500, 500, 500], [7, 11, 13])):
+        assert worst_deviation([s for _, s, _ in slots_of(blocks, w)], blocks, w) < 1
 
 
 def test_schedules_place_every_block_once():
@@ -383,9 +461,7 @@ def test_schedules_place_every_block_once():
     for _ in range(30):
         n = rng.randint(1, 6)
         blocks, w = [rng.randrange(40) for _ in range(n)], [rng.randrange(6) for _ in range(n)]
-        slots = []
-        for p in MX.schedule(blocks, w):
-            slots += [(p["start"] + j // p["each"] * p["period"] + p["offsets"][j % p["each"]], p["source"], p["first"] + j) for j in range(p["end"] - p["first"])]
+        slots = slots_of(blocks, w)
         assert [s[0] for s in sorted(slots)] == list(range(sum(blocks)))
         assert sorted((s, k) for _, s, k in slots) == [(s, k) for s, b in enumerate(blocks) for k in range(b)]
         for s in range(n):
@@ -400,8 +476,31 @@ def test_mixing(spark, docs, edges):
     assert list(order.slot) == list(range(len(order)))
     assert set(order.source[:4]) <= {"src0", "src1"}
     assert MX.mix_sources(edges).count() == edges.count() and MX.mix_sources(empty(spark)).count() == 0
-    with pytest.raises(ValueError):
-        MX.mix_sources(docs, {"src0": MX.MAX_PERIOD + 1})
+    assert MX.mix_sources(docs, {"src0": 3 * MX.MAX_PERIOD, "src1": 1}).count() == docs.count()
+
+
+def test_the_query_keeps_to_the_fluid_shares(spark):
+    d = spark.createDataFrame([(i, "abcdefg"[min(6, i % 9)] if i > 900 else "late") for i in range(3000)] + [(5000 + i, None) for i in range(40)], "doc_id long, source string")
+    got = MX.mix_sources(d).toPandas()
+    got["source"] = got.source.where(got.source.notna(), "")
+    counts = got.groupby("source").size()
+    names = sorted(counts.index)
+    blocks = [-(-counts[n] // 16) for n in names]
+    by_slot = got.groupby("slot").agg(source=("source", "first"), kinds=("source", "nunique"), rows=("place", "size"))
+    assert list(by_slot.index) == list(range(sum(blocks))) and (by_slot.kinds == 1).all() and by_slot.rows.max() == 16
+    assert worst_deviation([names.index(s) for s in by_slot.source], blocks, MX.tempered([int(counts[n]) for n in names])) < 1
+    for _, g in got.groupby("source"):
+        assert sorted(zip(g.block, g.place, strict=True)) == [(i // 16, i % 16) for i in range(len(g))]
+        assert g.sort_values("slot").block.is_monotonic_increasing
+
+
+def test_more_sources_than_are_scheduled_on_their_own(spark):
+    d = spark.createDataFrame([(i, None if i % 50 == 0 else f"s{min(i % 400, 30 + i % 7)}") for i in range(4000)], "doc_id long, source string")
+    got = MX.mix_sources(d, own=5, pools=3).toPandas()
+    assert sorted(got.doc_id) == list(range(4000))
+    slots = got.groupby("slot").size()
+    assert list(slots.index) == list(range(len(slots))) and slots.max() <= 16 and not got.duplicated(["slot", "place"]).any()
+    assert MX.mix_sources(d, {"s3": 2}, own=5, pools=3).count() == 4000
 
 
 # pipeline
@@ -421,7 +520,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
             known = [i for i in before if i in labels]
             assert sum((i in left) == (labels[i] == 1) for i in known) > 0.9 * len(known)
         if name == "near_dedup":
-            assert left == {i for i, (_, c) in brute_near(before, 5, 80).items() if c == i}
+            assert left == {i for i, (_, c) in brute_near(before, 2, 80).items() if c == i}
         if name == "decontamination":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert left == {i for i, v in brute_hits(before, items).items() if not v[4]}

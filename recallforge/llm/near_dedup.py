@@ -126,7 +126,7 @@ def links(docs: DataFrame, signs: DataFrame, shingle: int = 2, similar: int = 80
     keys = signs.select("id", "sign").mapInArrow(_keys, "key long, id long")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        texts = rows_of(docs, stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"), "id")
+        texts = rows_of(docs, stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"), "id")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, similar), "a long, b long")
 

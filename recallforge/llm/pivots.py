@@ -52,8 +52,9 @@ def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[D
         met = stars.where("a <> b").distinct().join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id"))
         return stash(confirm(stash(met.where(likely("x", "y")).select("a", "b"), "pairs")), "links")
 
-    pivots = stash(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1"), "pivots")
-    members = stash(keys.join(side(pivots), "key").select("key", "id", "pivot", "c"), "members")
+    dealt = keys.repartition("key")  # counted and joined where it is: one shuffle of all keys
+    pivots = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1")
+    members = stash(dealt.join(pivots, "key").select("key", "id", "pivot", "c"), "members")
     # First every row with the pivot of its largest key only, as rows of one group share most keys; then with pivots of other keys that are in other components.
     largest = members.groupBy("id").agg(F.max(F.struct("c", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("id").alias("b"))
     links = compared(largest)

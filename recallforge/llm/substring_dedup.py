@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallforge.llm import _kernel as K
@@ -154,6 +154,18 @@ def _without(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), *[batch.column(i) for i in range(3, batch.num_columns)]], names=["id", "text", *batch.schema.names[3:]])
 
 
+def _united(spans: Column) -> Column:
+    """Sorted spans (lo, hi) with those that touch made one."""
+    last = lambda done: F.try_element_at(done, F.lit(-1))
+
+    def add(done: Column, s: Column) -> Column:
+        touches = F.coalesce(last(done)["hi"] >= s["lo"], F.lit(False))
+        one = F.struct(last(done)["lo"].alias("lo"), F.greatest(last(done)["hi"], s["hi"]).alias("hi"))
+        return F.when(touches, F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), one)).otherwise(F.array_append(done, s))
+
+    return F.aggregate(spans, F.array().cast("array<struct<lo:bigint,hi:bigint>>"), add)
+
+
 def drop_near_paragraphs(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: int = SIMILAR, least: int = MIN_WORDS, recall: float = RECALL,
     block: int = BLOCK, spread: int = SPREAD, anchor: int = ANCHOR,
@@ -188,7 +200,7 @@ def drop_near_paragraphs(
     keys = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"))
 
     def fetch(pairs: DataFrame) -> DataFrame:
-        ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+        ids = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
         where = stash(nodes.join(side(ids), "node", "left_semi").select("node", "first.dk", "first.lo", "first.hi"), "where")
         texts = rows_of(own, where.select("dk").distinct(), "dk").dropDuplicates(["dk"])
         cut = F.substring(F.col("text").cast("binary"), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
@@ -207,7 +219,7 @@ def drop_near_paragraphs(
     hits = stash(every.join(side(shared), F.col("b.b_hash") == F.col("hash")).select("id", "dk", "hash", F.col("b.b_lo").alias("lo"), F.col("b.b_hi").alias("hi")), "hits")
     keepers = hits.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "dk")).alias("first")).select("hash", F.col("first.dk").alias("kept"))
     passages = hits.join(side(keepers), "hash").select("dk", "lo", "hi", F.lit(False).alias("line"), (F.col("dk") != F.col("kept")).alias("lost"))
-    spans = F.collect_list(F.when(F.col("lost"), F.struct("lo", "hi")))  # bounded by a text's length
+    spans = _united(F.sort_array(F.collect_list(F.when(F.col("lost"), F.struct("lo", "hi")))))  # bounded by a text's length
     marks = stash(events.unionByName(passages).distinct().groupBy("dk").agg(
         F.count_if("line").alias("n_linked"), F.count_if(F.col("line") & F.col("lost")).alias("n_removed"), F.count_if(~F.col("line")).alias("n_passages"), spans.alias("spans"),
     ), "marks")

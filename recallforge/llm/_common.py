@@ -120,27 +120,46 @@ def side(df: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (long ``a``, ``b``): rows (id, component), component the least id.
 
-    Every round a row takes the least label of its neighbours, or the label of
-    that label, and hands it on to the row its own label was, so that whole trees
-    are hooked at their roots and chains shorten geometrically in any order of
-    ids. Labels only fall, so it ends; it stops when nothing changes. A round is
-    two aggregates of edge-sized tables, stashed; labels of earlier rounds are
-    deleted.
+    Every round each node takes its least neighbour (itself, if it is less), these
+    pointers are followed to their ends, and what is left are the edges between
+    different ends: at most half of the nodes, so rounds are few and ever smaller, in
+    any order of ids. The least id of a component always points to itself. It ends when no
+    edge is left. Tables of earlier rounds are deleted.
     """
-    there = edges.where("a <> b").select("a", "b")
-    both = stash(there.union(there.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    left = stash(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    labels = None
     while True:
-        known = side(labels)
-        heard = both.join(known, both["b"] == known["id"]).select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("was"))
-        met = heard.union(labels.select("id", "label", F.col("label").alias("was"))).groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
-        up = known.select(F.col("id").alias("up_id"), F.col("label").alias("up"))
-        low = met.join(F.broadcast(up) if known is not labels else up, met["label"] == F.col("up_id"), "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "was")
-        told = low.select(F.inline(F.array(F.struct("id", "label", "was"), F.struct(F.col("was").alias("id"), "label", F.lit(None).cast("long").alias("was")))))
-        new = stash(told.groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was")), "labels")
-        forget(labels)
-        if new.where("label <> was").limit(1).count() == 0:
-            forget(both)
-            return new.select("id", F.col("label").alias("component"))
-        labels = new.select("id", "label")
-        labels._stashed = new._stashed
+        both = left.union(left.select("b", "a"))
+        ends = stash(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "ends")
+        while True:
+            known = side(ends).select(F.col("id").alias("at"), F.col("label").alias("next"))
+            further = stash(ends.join(known, F.col("label") == F.col("at")).select("id", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "ends")
+            done = further.where("moved").limit(1).count() == 0
+            forget(ends)
+            ends = further
+            if done:
+                break
+        to = side(ends)
+        fresh = stash(left.join(to.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(to.select(F.col("id").alias("b"), F.col("label").alias("y")), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if labels is None:
+            new = stash(ends.select("id", "label"), "labels")
+        else:
+            new = stash(labels.join(to.select(F.col("id").alias("at"), F.col("label").alias("next")), F.col("label") == F.col("at"), "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
+            forget(labels)
+        forget(left, ends)
+        labels, left = new, fresh
+        if left.limit(1).count() == 0:
+            forget(left)
+            return labels.select("id", F.col("label").alias("component"))
+
+
+def joined_components(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``groups`` (id, component) of a graph with more ``edges``: only the groups that these touch are looked at again."""
+    known = side(groups)
+    a = known.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    b = known.select(F.col("id").alias("b"), F.col("component").alias("y"))
+    between = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    merged = components(stash(between, "between"))
+    moved = groups.join(side(merged.select(F.col("id").alias("component"), F.col("component").alias("to"))), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    added = merged.join(known.select("id"), "id", "left_anti")
+    return stash(moved.unionByName(added), "groups")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallforge.llm import _kernel as K
-from recallforge.llm._common import components, rows_of, small_batches, stash
+from recallforge.llm._common import rows_of, small_batches, stash
 from recallforge.llm.pivots import PARITY, linked, parity
 
 CHUNKS, WIDTH = 12, 5
@@ -118,8 +118,8 @@ def _confirm(n: int, similar: int):
     return run
 
 
-def links(docs: DataFrame, signs: DataFrame, shingle: int = 2, similar: int = 80) -> DataFrame:
-    """Confirmed links (a, b) between the rows of ``signs`` (id, n, sign, marks), enough of them that components are those of all links.
+def groups_of(docs: DataFrame, signs: DataFrame, shingle: int = 2, similar: int = 80) -> DataFrame:
+    """(id, component) by confirmed links between the rows of ``signs`` (id, n, sign, marks).
 
     ``docs`` has (id, text) of every row of ``signs``.
     """
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     whole = signed.where("n > 0 and id is not null")
     classes = stash(whole.groupBy("n", "low", "high").agg(F.min("id").alias("rep")), "classes")
     reps = stash(whole.join(classes.select(F.col("rep").alias("id"), "n", "low", "high"), ["id", "n", "low", "high"], "left_semi").dropDuplicates(["id"]).select("id", "n", "sign", "marks"), "reps")
-    groups = components(links(own, reps, shingle, similar))
+    groups = groups_of(own, reps, shingle, similar)
     merged = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n", "low", "high", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("sign", "marks").join(merged, ["n", "low", "high"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))

@@ -1,4 +1,4 @@
-"""Links among rows that share index keys, without all pairs of a key.
+"""Components of links among rows that share index keys, without all pairs of a key.
 
 The rows of a key are first compared with a pivot, its least row: a row with the
 pivot of its largest key, then with those of other keys that are still in other
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallforge.llm._common import components, side, stash
+from recallforge.llm._common import components, joined_components, side, stash
 
 #: 64-bit words of a parity sketch; open rows of a key up to which they are paired in one task.
 PARITY, SLICE = 8, 500
@@ -34,7 +34,7 @@ def parity_bits(x: Column, y: Column, at: int = 0) -> Column:
 
 
 def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None, at: int = 0) -> DataFrame:
-    """Links (a, b) that ``confirm`` lets pass, of rows (key, id): enough that their components are those of all links within keys.
+    """(id, component) by all links that ``confirm`` lets pass of rows (key, id) with a key in common; rows without any link may be left out.
 
     ``marks`` has (id, n, marks) of every row: the size of its set and an array of
     longs with a parity sketch at ``at``. Similar sets differ in size and in
@@ -55,16 +55,15 @@ def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[D
     dealt = keys.repartition("key")  # counted and joined where it is: one shuffle of all keys
     pivots = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1")
     members = stash(dealt.join(pivots, "key").select("key", "id", "pivot", "c"), "members")
+    marks = stash(marks.join(side(stash(members.select("id").distinct(), "ids")), "id", "left_semi"), "marks")  # most rows share no key
     # First every row with the pivot of its largest key only, as rows of one group share most keys; then with pivots of other keys that are in other components.
     largest = members.groupBy("id").agg(F.max(F.struct("c", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("id").alias("b"))
-    links = compared(largest)
-    known = components(links)
+    known = components(compared(largest))
     own = side(known.select("id", F.col("component").alias("of_id")))
     of_pivot = side(known.select(F.col("id").alias("pivot"), F.col("component").alias("of_pivot")))
     apart = members.join(own, "id", "left").join(of_pivot, "pivot", "left").where(F.coalesce("of_id", "id") != F.coalesce("of_pivot", "pivot"))
-    first = links.unionByName(compared(apart.select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
-    groups = side(components(first))
-    rest = stash(members.where("id <> pivot").select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "rest")
+    groups = joined_components(known, compared(apart.select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
+    rest = stash(members.where("id <> pivot").select("key", "id").join(side(groups), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "rest")
     still = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
     # A key with many open rows is cut into slices by hash of the row; each pair of slices is a key of its own, so that no task has all pairs of a key.
     cuts = rest.join(still, "key", "left_semi").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("cuts"))
@@ -75,4 +74,4 @@ def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[D
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.other")) & (F.col("x.other") == F.col("y.slice"))
     more = x.join(y, met & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y"))
     later = stash(confirm(stash(more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")), "links")
-    return first.unionByName(later)
+    return joined_components(groups, later)

@@ -54,6 +54,14 @@ def flatten_histories(items: DataFrame) -> DataFrame:
     return turns.select("sample", session.alias("session"), "session_pos", session_time(F.col("d")).alias("session_start"), "turn", F.col("m.role").alias("role"), F.lit(None).cast("string").alias("speaker"), F.col("m.content").alias("content"))
 
 
+def session_map(items: DataFrame) -> DataFrame:
+    """(sample, session, messages) of items with haystack_sessions and haystack_session_ids: of an id that comes twice the last; sessions without an id are left out."""
+    pairs = F.arrays_zip(F.col("haystack_session_ids").alias("i"), F.col("haystack_sessions").alias("s"))
+    both = F.least(F.size("haystack_session_ids"), F.size("haystack_sessions"))
+    rows = items.select(F.col("question_id").alias("sample"), F.posexplode(F.slice(pairs, F.lit(1), F.greatest(both, F.lit(0)))).alias("at", "z"))
+    return rows.groupBy("sample", F.col("z.i").alias("session")).agg(F.max_by("z.s", "at").alias("messages"))
+
+
 def flatten_conversations(items: DataFrame) -> DataFrame:
     """Items with a JSON ``conversation`` of keys session_<n> and session_<n>_date_time as message rows, sessions by number."""
     entries = items.select("sample", F.explode(F.from_json("conversation", "map<string,string>")).alias("k", "v"))

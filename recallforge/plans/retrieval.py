@@ -86,13 +86,13 @@ def keyword_token_overlap(spark, d):
 
 
 def answer_field_score(spark, d):
-    """Four fields in turn; the empty ones score 0."""
+    """Six fields in turn, one blank and one not known."""
     q = queries(spark, d)
-    field = F.element_at(F.array(*[F.lit(x) for x in ("Content", "location", "reason", "keywords")]), (F.col("query_id") % 4 + 1).cast("int"))
+    field = F.element_at(F.array(*[F.lit(x) for x in (" ", "location", "Reason", "keywords", "time", "other")]), (F.col("query_id") % 6 + 1).cast("int"))
     return R.answer_field_score(memories(spark, d), q.select("query_id", "bank", field.alias("answer_field")))
 
 
-FIELD = f"with {SQL_MEM}, {SQL_Q} select query_id, bank, record_idx, case query_id % 4 when 0 then (trim(content) <> '')::int when 1 then 0 when 2 then (trim(coalesce(reason, '')) <> '')::int else (len(mem.keywords) > 0)::int end::double as score from mem join q using (bank)"
+FIELD = f"with {SQL_MEM}, {SQL_Q} select query_id, bank, record_idx, case query_id % 6 when 0 then (trim(content) <> '')::int when 2 then (trim(coalesce(reason, '')) <> '')::int when 3 then (len(mem.keywords) > 0)::int when 4 then (source_time is not null)::int else 0 end::double as score from mem join q using (bank)"
 
 
 def dense_text_topk(spark, d):

@@ -127,15 +127,15 @@ select *, memories_before - memories_after as reduced, round(100.0::double * (me
 
 
 def gold_join(spark, d):
-    """Questions are the first words of a document, varied in quotes and blanks; every seventh has gold for another question only."""
-    q = table(spark, d, "documents").select(F.col("lang").alias("conv"), F.col("doc_id").alias("pos"), F.substring("text", 1, 40).alias("question"))
+    """Questions are the texts of documents, varied in quotes and blanks; every seventh has gold for another question only."""
+    q = table(spark, d, "documents").select(F.col("lang").alias("conv"), F.col("doc_id").alias("pos"), F.col("text").alias("question"))
     other = F.when(F.col("pos") % 7 == 0, F.concat(F.lit("other "), "question")).otherwise(F.col("question"))
     gold = q.select("conv", "pos", other.alias("question"), F.concat(F.lit("g"), F.col("pos").cast("string")).alias("gold"))
     asked = q.select("conv", F.col("pos").alias("id"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit('"'), F.replace("question", F.lit(" "), F.lit("  ")), F.lit('" '))).otherwise(F.col("question")).alias("question"))
     return J.gold_join(asked, gold).select("conv", "id", "gold", "status")
 
 
-GOLD = f"""with q as (select lang as conv, doc_id as pos, text[:40] as question from documents), o as (select conv, pos, case when pos % 7 = 0 then 'other ' || question else question end as question from q), g as (select *, 'g' || pos as gold, {_NORMQ.format("question")} as norm from o),
+GOLD = f"""with q as (select lang as conv, doc_id as pos, text as question from documents), o as (select conv, pos, case when pos % 7 = 0 then 'other ' || question else question end as question from q), g as (select *, 'g' || pos as gold, {_NORMQ.format("question")} as norm from o),
 e as (select conv, question, gold from g qualify row_number() over (partition by conv, question order by pos desc) = 1), l as (select conv, norm, gold from g qualify row_number() over (partition by conv, norm order by pos desc) = 1),
 a as (select conv, pos as id, case when pos % 2 = 0 then '"' || replace(question, ' ', '  ') || '" ' else question end as question from q)
 select a.conv, a.id, coalesce(e.gold, l.gold, '') as gold, case when coalesce(e.gold, l.gold) is null then 'missing_gold' else 'ok' end as status from a left join e on e.conv = a.conv and e.question = a.question left join l on l.conv = a.conv and l.norm = {_NORMQ.format("a.question")}"""

@@ -29,17 +29,29 @@ def read_conversations(spark: SparkSession, path: str, glob: str = "*.json") ->
 
 
 def read_memories(spark: SparkSession, path: str) -> DataFrame:
-    """Records of memory files, ``{"memories": [...]}`` or a bare list, with bank (the folder), record_idx and boundary_id ``<window>_<index>``.
+    """Records of banks below ``path``, with bank (the folder), record_idx and boundary_id ``<window>_<index in its file>``.
 
-    The window is window_dir, else window_index, 0 included.
+    A bank's own file (all_memories.json, any *.json in the bank's folder) holds all of it; only banks without one are
+    read from the files in their window folders, windows in the order of their names. Files hold ``{"memories": [...]}`` or
+    a bare list. The window is window_dir, else window_index, 0 included, else all_memories or the window folder.
     """
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).select(F.col("value"), F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2)).alias("bank"))
+    root = path.rstrip("/") + "/"
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    parts = F.split(F.substring_index(F.col("_metadata.file_path"), root, -1), "/")
+    files = text.select("value", F.size(parts).alias("depth"), F.get(parts, F.lit(0)).alias("bank"), F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("all_memories").alias("window")).where("depth in (2, 3)")
+    least = files.groupBy("bank").agg(F.min("depth").alias("least"))
+    chosen = files.join(least, "bank").where("depth = least")
     listed = F.when(F.trim("value").startswith("["), F.concat(F.lit('{"memories":'), F.col("value"), F.lit("}"))).otherwise(F.col("value"))
-    m = text.select("bank", F.posexplode(F.from_json(listed, MEMORY_SCHEMA)["memories"]).alias("record_idx", "m")).select("bank", "record_idx", "m.*")
+    m = chosen.select("bank", "window", F.posexplode(F.from_json(listed, MEMORY_SCHEMA)["memories"]).alias("at", "m")).select("bank", "window", "at", "m.*")
     d = F.col("dimension")
-    window = F.coalesce(F.nullif(clean(F.col("window_dir")), F.lit("")), F.nullif(clean(F.col("window_index")), F.lit("")), F.lit("all_memories"))
-    return m.select(
-        "bank", "record_idx", F.format_string("%s_%04d", window, F.col("record_idx")).alias("boundary_id"), clean(F.col("content")).alias("content"), F.coalesce(F.nullif(clean_json(d["memory_type"]), F.lit("")), F.lit("other")).alias("memory_type"),
+    window = F.coalesce(F.nullif(clean(F.col("window_dir")), F.lit("")), F.nullif(clean(F.col("window_index")), F.lit("")), F.col("window"))
+    sizes = m.groupBy("bank", "window").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("bank").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)  # a row a window
+    offsets = sizes.select("bank", "window", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))
+    place = Window.partitionBy("bank", "window").orderBy("at")
+    numbered = m.withColumn("in_window", F.row_number().over(place) - 1).join(offsets, ["bank", "window"]).withColumn("record_idx", (F.col("offset") + F.col("in_window")).cast("int"))
+    return numbered.select(
+        "bank", "record_idx", F.format_string("%s_%04d", window, F.col("at")).alias("boundary_id"), clean(F.col("content")).alias("content"), F.coalesce(F.nullif(clean_json(d["memory_type"]), F.lit("")), F.lit("other")).alias("memory_type"),
         *[clean_json(d[c]).alias(c) for c in ("time", "location", "reason", "purpose")], F.coalesce(d["keywords"], F.array().cast("array<string>")).alias("keywords"), F.try_to_timestamp("source_time").cast("timestamp_ntz").alias("source_time"), "source_id", "session_id",
     )
 
@@ -68,6 +80,17 @@ def append_manifest(spark: SparkSession, path: str, run: str, step: str, counts:
     spark.range(1).select(F.lit(run).alias("run"), F.lit(step).alias("step"), F.current_timestamp().alias("at"), items.alias("counts")).write.mode("append").parquet(path)
 
 
+def append_failures(rows: DataFrame, path: str, run: str, step: str, key: list[str]) -> None:
+    """The rows that are not ok, with their key and error, appended to a run's table of failures."""
+    failed = rows.where(~F.col("ok")).select(F.lit(run).alias("run"), F.lit(step).alias("step"), F.current_timestamp().alias("at"), F.to_json(F.struct(*key)).alias("key"), "error")
+    failed.write.mode("append").parquet(path)
+
+
+def write_texts(rows: DataFrame, path: str, text: str, by: list[str]) -> None:
+    """One text a row (prompts, dialogues, raw answers) as text files, a folder for each value of ``by``."""
+    rows.select(*by, F.coalesce(F.col(text), F.lit("")).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+
+
 def questions_of(items: DataFrame, exclude: tuple[int, ...] = (), per_item: int = 0) -> DataFrame:
     """Questions of conversation items (sample, qa): their place before the filter, categories not in ``exclude`` (a null category stays), the first ``per_item`` of each (0: all)."""
     q = items.select("sample", F.posexplode("qa").alias("pos", "q")).select("sample", "pos", "q.*")

@@ -52,13 +52,18 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """``stash``, and delete all that was stashed before: for results that need nothing else of what led to them."""
-    before = list(_MADE)
+def stashed() -> set[str]:
+    """What is stashed so far, to be kept by a later ``settle``."""
+    return set(_MADE)
+
+
+def settle(df: DataFrame, label: str, keep: set[str]) -> DataFrame:
+    """``stash``, and delete all that was stashed before but ``keep``: for results that need nothing else of what led to them."""
+    led = [p for p in _MADE if p not in keep]
     out = stash(df, label)
-    for path in before:
+    for path in led:
         _drop_root(df.sparkSession, path)
-    del _MADE[: len(before)]
+        _MADE.remove(path)
     return out
 
 

@@ -67,3 +67,41 @@ def test_incremental(spark, tmp_path):
     spark.range(3, 5).write.mode("append").parquet(src)
     go()
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_http_chat_sends_one_message_and_reads_the_first_choice():
+    import io
+    import json
+
+    from recallforge.ports import HttpChat
+
+    seen = []
+
+    def open_url(request, timeout):
+        seen.append((request.full_url, json.loads(request.data), request.get_header("Authorization"), timeout))
+        return io.BytesIO(json.dumps({"choices": [{"message": {"content": "hello"}}], "usage": {"total_tokens": 5}}).encode())
+
+    port = HttpChat("http://host/v1/", "m", "k", 9.0, open_url=open_url, max_tokens=3)
+    assert port("hi") == "hello" and port.usage == {"prompt_tokens": 0, "completion_tokens": 0, "total_tokens": 5}
+    assert seen == [("http://host/v1/chat/completions", {"model": "m", "temperature": 0.0, "max_tokens": 3, "messages": [{"role": "user", "content": "hi"}]}, "Bearer k", 9.0)]
+    assert HttpChat("http://host", "m", open_url=lambda r, timeout: io.BytesIO(b"{}"))("x") == ""
+
+
+def test_onnx_embedder_averages_under_the_mask():
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    from recallforge.ports import OnnxEmbedder
+
+    class Session:
+        def get_inputs(self):
+            return [SimpleNamespace(name="input_ids"), SimpleNamespace(name="attention_mask")]
+
+        def run(self, _, given):
+            assert set(given) == {"input_ids", "attention_mask"}
+            return [np.stack([given["input_ids"], 2 * given["input_ids"]], axis=-1).astype(np.float32)]
+
+    port = OnnxEmbedder("", "", batch=2, session=Session(), encode=lambda texts: [([len(t), 9], [1, 0]) if t else ([0, 9], [0, 0]) for t in texts])
+    got = port(["abc", "", "x"])
+    assert np.allclose(got, [[1 / 5**0.5, 2 / 5**0.5], [0, 0], [1 / 5**0.5, 2 / 5**0.5]])

@@ -2,8 +2,9 @@
 
 The rows of a key are first compared with a pivot, its least row: a row with the
 pivot of its largest key, then with those of other keys that are still in other
-components. In keys whose other rows are then still in different components, rows
-of different components are paired; bounds that lose no link keep all but likely
+components, then with further pivots in keys with many rows that are still in
+different components. In keys whose rows remain in different components, rows of
+different components are paired; bounds that lose no link keep all but likely
 pairs from leaving the join.
 """
 
@@ -20,6 +21,8 @@ from recallforge.llm._common import components, joined_components, side, stash
 
 #: 64-bit words of a parity sketch; open rows of a key up to which they are paired in one task.
 PARITY, SLICE = 8, 500
+#: Further pivots of a key in a round, and components of a key up to which it has none.
+PIVOTS, WIDE = 4, 32
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -63,10 +66,30 @@ def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[D
     of_pivot = side(known.select(F.col("id").alias("pivot"), F.col("component").alias("of_pivot")))
     apart = members.join(own, "id", "left").join(of_pivot, "pivot", "left").where(F.coalesce("of_id", "id") != F.coalesce("of_pivot", "pivot"))
     groups = joined_components(known, compared(apart.select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
-    rest = stash(members.where("id <> pivot").select("key", "id").join(side(groups), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "rest")
-    still = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+    others = members.where("id <> pivot").select("key", "id")
+
+    def open_in(groups: DataFrame) -> DataFrame:
+        """(key, id, label) of keys whose rows are in different components."""
+        rest = others.join(side(groups), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        still = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+        return stash(rest.join(still, "key", "left_semi"), "rest")
+
+    # Rows with many links to others of their key, none to its pivot, need a few more pivots, not all pairs: rounds of them, as long as each closes a tenth of what is apart.
+    rest = open_in(groups)
+    before, turn = None, 0
+    while True:
+        apart = stash(rest.select("key", "label").distinct(), "apart")
+        size = apart.count()
+        wide = stash(apart.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > WIDE).select("key"), "wide")
+        if before and 10 * size > 9 * before or wide.limit(1).count() == 0:
+            break
+        slot = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(PIVOTS))
+        chosen = rest.join(wide, "key", "left_semi").groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label")).alias("p"))
+        stars = rest.join(chosen.select("key", F.col("p.id").alias("a"), F.col("p.label").alias("of")), "key").where("label <> of").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+        groups = joined_components(groups, compared(stars))
+        rest, before, turn = open_in(groups), size, turn + 1
     # A key with many open rows is cut into slices by hash of the row; each pair of slices is a key of its own, so that no task has all pairs of a key.
-    cuts = rest.join(still, "key", "left_semi").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("cuts"))
+    cuts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("cuts"))
     open_rows = stash(rest.join(cuts, "key").withColumn("slice", F.pmod(F.xxhash64("id"), "cuts").cast("int")).join(marks, "id"), "open")
     every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     x = open_rows.select("*", every.alias("other")).alias("x")

@@ -27,6 +27,8 @@ from recallforge.llm.pivots import PARITY, linked, parity
 SHINGLE, SIMILAR, MIN_WORDS, RECALL = 5, 80, 20, 0.999
 #: Words of a block; grams among which its place is chosen; words of such a gram. Equal passages of 51 words share a block.
 BLOCK, SPREAD, ANCHOR = 36, 16, 5
+#: Hot blocks are looked for in one of SAMPLE rows: those in HOT of them, and in one of RARE rows, at least.
+SAMPLE, HOT, RARE = 64, 16, 5_000
 
 
 def tune(similar: int, recall: float, rows: int = 3) -> tuple[int, int]:
@@ -166,6 +168,33 @@ def _united(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast("array<struct<lo:bigint,hi:bigint>>"), add)
 
 
+def _passages(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(dk, lo, hi, line, lost) of the blocks that stand in several rows, and what was stored for it.
+
+    All blocks are shuffled once, by hash, and counted and joined where they are.
+    Blocks of many rows are told in a sample of the rows (one of ``SAMPLE``, a hot
+    block is in ``HOT`` of these and in a row of ``RARE`` at least); these are counted before a shuffle and
+    not dealt out, so that no task has all rows of one. Which blocks are in the sample
+    does not alter the result. Hot blocks are at most ``RARE`` times the blocks of a mean row.
+    """
+    some = found.where("b_hash is not null")
+    sample = some.where(F.pmod(F.xxhash64("dk", F.lit(7)), F.lit(SAMPLE)) == 0)
+    least = max(HOT, sample.count() // RARE)
+    hot = stash(sample.select(F.explode("b_hash").alias("hash")).groupBy("hash").count().where(F.col("count") >= least).select("hash"), "hot")
+    every = some.select("id", "dk", F.explode(F.arrays_zip("b_hash", "b_lo", "b_hi")).alias("b")).select("id", "dk", F.col("b.b_hash").alias("hash"), F.col("b.b_lo").alias("lo"), F.col("b.b_hi").alias("hi"))
+
+    def kept(blocks: DataFrame) -> DataFrame:
+        first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "dk"))
+        return blocks.groupBy("hash").agg(first.alias("first"), F.min("dk").alias("low"), F.max("dk").alias("high")).where("low <> high").select("hash", F.col("first.dk").alias("kept"))
+
+    few = side(hot)
+    dealt = every.join(few, "hash", "left_anti").repartition("hash")
+    often = every.join(few, "hash", "left_semi")
+    known = stash(kept(often), "often")
+    hits = dealt.join(kept(dealt), "hash").unionByName(often.join(side(known), "hash"))
+    return hits.select("dk", "lo", "hi", F.lit(False).alias("line"), (F.col("dk") != F.col("kept")).alias("lost")), [hot, known]
+
+
 def drop_near_paragraphs(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: int = SIMILAR, least: int = MIN_WORDS, recall: float = RECALL,
     block: int = BLOCK, spread: int = SPREAD, anchor: int = ANCHOR,
@@ -213,17 +242,14 @@ def drop_near_paragraphs(
     several = placed.groupBy("component").agg(F.min("first").alias("kept"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("component", "kept")
     near = stash(placed.select("node", "component").join(several, "component").select("node", F.struct("kept.dk", "kept.lo").alias("kept")), "near")
     events = lines.select("dk", "lo", "hi", "node").join(side(near), "node").select("dk", "lo", "hi", F.lit(True).alias("line"), (place != F.col("kept")).alias("lost"))
-    every = found.where("b_hash is not null").select("id", "dk", F.explode(F.arrays_zip("b_hash", "b_lo", "b_hi")).alias("b"))
-    seen = every.groupBy(F.col("b.b_hash").alias("hash")).agg(F.min("dk").alias("low"), F.max("dk").alias("high"))
-    shared = stash(seen.where("low <> high").select("hash"), "shared")
-    hits = stash(every.join(side(shared), F.col("b.b_hash") == F.col("hash")).select("id", "dk", "hash", F.col("b.b_lo").alias("lo"), F.col("b.b_hi").alias("hi")), "hits")
-    keepers = hits.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "dk")).alias("first")).select("hash", F.col("first.dk").alias("kept"))
-    passages = hits.join(side(keepers), "hash").select("dk", "lo", "hi", F.lit(False).alias("line"), (F.col("dk") != F.col("kept")).alias("lost"))
-    spans = _united(F.sort_array(F.collect_list(F.when(F.col("lost"), F.struct("lo", "hi")))))  # bounded by a text's length
-    marks = stash(events.unionByName(passages).distinct().groupBy("dk").agg(
-        F.count_if("line").alias("n_linked"), F.count_if(F.col("line") & F.col("lost")).alias("n_removed"), F.count_if(~F.col("line")).alias("n_passages"), spans.alias("spans"),
+    passages, made = _passages(found)
+    one = F.struct("lo", "hi", "line", "lost")
+    count = lambda keep: F.size(F.filter("all", keep)).cast("long")
+    spans = _united(F.sort_array(F.transform(F.filter("all", lambda x: x["lost"]), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))))
+    marks = stash(events.unionByName(passages).groupBy("dk").agg(F.collect_set(one).alias("all")).select(  # bounded by a text's length
+        "dk", count(lambda x: x["line"]).alias("n_linked"), count(lambda x: x["line"] & x["lost"]).alias("n_removed"), count(lambda x: ~x["line"]).alias("n_passages"), spans.alias("spans"),
     ), "marks")
-    forget(found, near, shared, hits)
+    forget(found, near, *made)
     names = ("n_linked", "n_removed", "n_passages")
     # Texts are not shuffled where the list of those with repeats, or of their spans (16 bytes each), is small enough to broadcast.
     hit = side(marks.select("dk"))

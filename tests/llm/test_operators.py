@@ -18,6 +18,7 @@ from recallforge.llm import decontaminate as DC
 from recallforge.llm import line_dedup as LD
 from recallforge.llm import mixing as MX
 from recallforge.llm import near_dedup as ND
+from recallforge.llm import pivots
 from recallforge.llm import quality_classifier as QC
 from recallforge.llm import quality_rules as QR
 from recallforge.llm import registry
@@ -321,6 +322,35 @@ def test_near_paragraphs(spark, docs, edges):
     assert SD.drop_near_paragraphs(empty(spark)).count() == 0
 
 
+def test_further_pivots_and_hot_blocks_change_no_result(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(3, 8)):
+            w[rng.randrange(80)] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, " ".join([f"a{k}-{i}" for i in range(9)] + [f"p{i}" for i in range(70)])) for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in rows}
+    groups = Sets(sets)
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                groups.join(a, b)
+    least = defaultdict(list)
+    for i in sets:
+        least[groups.find(i)].append(i)
+    want = {i: min(g) for g in least.values() for i in g}
+    plain = sorted(map(tuple, SD.drop_near_paragraphs(table).collect()))
+    monkeypatch.setattr(pivots, "WIDE", 1)
+    monkeypatch.setattr(SD, "SAMPLE", 1)
+    monkeypatch.setattr(SD, "HOT", 2)
+    assert {r["doc_id"]: r["component_id"] for r in ND.near_duplicates(table).collect()} == want
+    assert sorted(map(tuple, SD.drop_near_paragraphs(table).collect())) == plain
+
+
 def test_equal_passages_are_found_wherever_they_stand(spark, docs, edges):
     rng = random.Random(9)
     fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]

@@ -80,10 +80,10 @@ def distance(x: Column, y: Column) -> Column:
     """Number of byte lanes (low bytes of symbols, eight to a long) that differ between two marks: never more than the symbols that differ."""
 
     def differing(i: int) -> Column:
-        z = x[i].bitwiseXOR(y[i])
-        for by in (4, 2, 1):
-            z = z.bitwiseOR(F.shiftrightunsigned(z, by))
-        return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+        # A half byte plus 15 sets the bit above it unless it is 0. The difference stands twice in this, not more: a condition too long is not compiled.
+        z, half = x[i].bitwiseXOR(y[i]), F.lit(0x0F0F0F0F0F0F0F0F)
+        above = (z.bitwiseAND(half) + half).bitwiseOR(F.shiftrightunsigned(z, 4).bitwiseAND(half) + half)
+        return F.bit_count(above.bitwiseAND(F.lit(0x1010101010101010)))
 
     return reduce(lambda a, b: a + b, [differing(i) for i in range(_LANES)])
 

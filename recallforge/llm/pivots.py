@@ -4,7 +4,8 @@ The rows of a key are first compared with a pivot, its least row: a row with the
 pivot of its largest key, then with those of other keys that are still in other
 components, then with further pivots in keys with many rows that are still in
 different components. In keys whose rows remain in different components, rows of
-different components are paired; bounds that lose no link keep all but likely
+different components are paired, those beside the largest component of a key
+with all its rows; bounds that lose no link keep all but likely
 pairs from leaving the join.
 """
 
@@ -74,27 +75,40 @@ def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[D
         still = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
         return stash(rest.join(still, "key", "left_semi"), "rest")
 
+    def main_of(rest: DataFrame) -> DataFrame:
+        """(key, main, parts, main_rows, rows): the component with most rows of a key; its rows need no comparison among themselves."""
+        sizes = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        best = F.max(F.struct("n", "label"))
+        each = sizes.groupBy("key").agg(best.alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("rows"))
+        return stash(each.select("key", F.col("m.label").alias("main"), "parts", F.col("m.n").alias("main_rows"), "rows"), "main")
+
     # Rows with many links to others of their key, none to its pivot, need a few more pivots, not all pairs: rounds of them, as long as each closes a tenth of what is apart.
+    # In a round a row beside the main component meets the pivots of one key, that with most components apart, as rows of one group share most keys.
     rest = open_in(groups)
     before, turn = None, 0
     while True:
-        apart = stash(rest.select("key", "label").distinct(), "apart")
-        size = apart.count()
-        wide = stash(apart.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > WIDE).select("key"), "wide")
+        main = main_of(rest)
+        size = main.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+        wide = main.where(F.col("parts") > WIDE)
         if before and 10 * size > 9 * before or wide.limit(1).count() == 0:
             break
+        within = rest.join(wide, "key")
         slot = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(PIVOTS))
-        chosen = rest.join(wide, "key", "left_semi").groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label")).alias("p"))
-        stars = rest.join(chosen.select("key", F.col("p.id").alias("a"), F.col("p.label").alias("of")), "key").where("label <> of").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+        chosen = within.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label")).alias("p"))
+        minor = stash(within.where("label <> main").groupBy("id", "label").agg(F.max(F.struct("parts", "key")).alias("m")).select("id", "label", F.col("m.key").alias("key")), "minor")
+        stars = minor.join(chosen.select("key", F.col("p.id").alias("a"), F.col("p.label").alias("of")), "key").where("label <> of").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
         groups = joined_components(groups, compared(stars))
         rest, before, turn = open_in(groups), size, turn + 1
-    # A key with many open rows is cut into slices by hash of the row; each pair of slices is a key of its own, so that no task has all pairs of a key.
-    cuts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("cuts"))
-    open_rows = stash(rest.join(cuts, "key").withColumn("slice", F.pmod(F.xxhash64("id"), "cuts").cast("int")).join(marks, "id"), "open")
-    every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    x = open_rows.select("*", every.alias("other")).alias("x")
-    y = open_rows.select("*", every.alias("other")).alias("y")
+    # Rows beside the main component of a key meet all its rows. Both are cut into slices by hash of the row; each pair of slices is a key of its own, so that no task has all pairs of a key.
+    cuts = main.select("key", "main", *[F.greatest(F.ceil(n / SLICE), F.lit(1)).cast("int").alias(c) for n, c in ((F.col("rows"), "cuts"), (F.col("rows") - F.col("main_rows"), "minor_cuts"))])
+    open_rows = stash(rest.join(cuts, "key").join(marks, "id"), "open")
+    cut = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    x = open_rows.where("label <> main").select("*", cut("minor_cuts").alias("slice"), every("cuts").alias("other")).alias("x")
+    y = open_rows.select("*", cut("cuts").alias("slice"), every("minor_cuts").alias("other")).alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.other")) & (F.col("x.other") == F.col("y.slice"))
-    more = x.join(y, met & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y"))
-    later = stash(confirm(stash(more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")), "links")
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    more = x.join(y, met & (F.col("x.label") != F.col("y.label")) & once & likely("x", "y"))
+    pairs = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    later = stash(confirm(stash(pairs.distinct(), "pairs")), "links")
     return joined_components(groups, later)

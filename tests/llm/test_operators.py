@@ -345,6 +345,7 @@ def test_further_pivots_and_hot_blocks_change_no_result(spark, monkeypatch):
     want = {i: min(g) for g in least.values() for i in g}
     plain = sorted(map(tuple, SD.drop_near_paragraphs(table).collect()))
     monkeypatch.setattr(pivots, "WIDE", 1)
+    monkeypatch.setattr(pivots, "SLICE", 20)
     monkeypatch.setattr(SD, "SAMPLE", 1)
     monkeypatch.setattr(SD, "HOT", 2)
     assert {r["doc_id"]: r["component_id"] for r in ND.near_duplicates(table).collect()} == want

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallforge.functions.text import joined, tokens
+from recallforge.operators.index import Index, build_index, open_index
+from recallforge.operators.retrieve import record_text
 from recallforge.ports import TokenCountEmbedder, embed
+from recallforge.sources.shared import once, version_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +54,18 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``memories``, stored at first use as an extraction run stores its records; later queries read it column by column."""
+    path = once(spark, "bank", version_of(spark, f"{sf_dir}/documents.parquet"), lambda to: memories(spark, sf_dir).write.parquet(to))
+    return spark.read.parquet(path)
+
+
+def bank_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The inverted index of the records' texts, built at first use and shared by all queries of the application."""
+    path = once(spark, "bm25", version_of(spark, f"{sf_dir}/documents.parquet"), lambda to: build_index(bank(spark, sf_dir), record_text(), to))
+    return open_index(spark, path)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``benchmark`` as queries, each for every bank."""
     b = table(spark, sf_dir, "benchmark")
@@ -96,7 +111,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with a vector of their content, reason and purpose, by the embedding port that SQL can follow."""
-    m = memories(spark, sf_dir).select("bank", "record_idx", joined(" ", F.col("content"), F.col("reason"), F.col("purpose")).alias("text"))
+    m = bank(spark, sf_dir).select("bank", "record_idx", joined(" ", F.col("content"), F.col("reason"), F.col("purpose")).alias("text"))
     return embed(m, TokenCountEmbedder, unit=False).drop("text")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recallforge.functions.text import normalize_content, token_set
 from recallforge.operators import retrieve as R
-from recallforge.plans.fixtures import SQL_MEM, SQL_MESSAGES, SQL_Q, SQL_TC, SQL_VECTORS, TC_MEETS, anchor_vectors, memories, queries, text_vectors, vector_queries, vectors
+from recallforge.plans.fixtures import SQL_MEM, SQL_MESSAGES, SQL_Q, SQL_TC, SQL_VECTORS, TC_MEETS, anchor_vectors, bank, bank_index, queries, text_vectors, vector_queries, vectors
 
 K = 15
 
@@ -16,10 +16,11 @@ def _r(c="score"):
 
 
 def bm25_index_stats(spark, d):
-    m = memories(spark, d)
-    p = R.postings(m)
-    df = p.groupBy("bank").agg(F.count_distinct("term").alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("max_tf"))
-    return R.bank_stats(m).join(df, "bank").select("bank", "n", F.round("avgdl", 9).alias("avgdl"), "terms", "tokens", "max_tf")
+    """From the stored index: a row of postings is a term in a shard."""
+    x = bank_index(spark, d)
+    terms = x.frequency.groupBy("bank").agg(F.count(F.lit(1)).alias("terms"))
+    sizes = x.postings.groupBy("bank").agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, v: s + v)).alias("tokens"), F.max(F.array_max("tops")).alias("max_tf"))
+    return x.stats.join(terms, "bank").join(sizes, "bank").select("bank", "n", F.round("avgdl", 9).alias("avgdl"), "terms", "tokens", "max_tf")
 
 
 _DOC = "content || ' | ' || reason || case when len(keywords) > 0 then ' | ' || array_to_string(keywords, ' ') else '' end"
@@ -35,14 +36,14 @@ sc as (select query_id, tf.bank, record_idx, sum(ln(1 + (n - df + 0.5::double) /
 
 
 def bm25_scores(spark, d):
-    return R.bm25_scores(memories(spark, d), queries(spark, d)).select("query_id", "bank", "record_idx", _r())
+    return R.bm25_scores(bank(spark, d), queries(spark, d)).select("query_id", "bank", "record_idx", _r())
 
 
 BM_SCORES = f"with {SQL_MEM}, {SQL_Q}, {_SCORES} select query_id, bank, record_idx, round(score, 9) as score from sc"
 
 
 def bm25_topk(spark, d):
-    return R.search_bm25(memories(spark, d), queries(spark, d), K).select("query_id", "bank", "record_idx", "rank", _r())
+    return R.search_bm25(bank(spark, d), queries(spark, d), K, index=bank_index(spark, d)).select("query_id", "bank", "record_idx", "rank", _r())
 
 
 _TOP = "qualify row_number() over (partition by query_id, bank order by score desc, record_idx) <= {k}"
@@ -72,7 +73,7 @@ def _dense_sql(f, k):
 
 
 def _counts(spark, d):
-    full = memories(spark, d).select("bank", "record_idx", R.full_text().alias("full"))
+    full = bank(spark, d).select("bank", "record_idx", R.full_text().alias("full"))
     q = queries(spark, d).withColumn("wanted", token_set(F.array_join("keywords", " ")))
     return R.part_counts(full, q, {"phrase": F.transform("keywords", F.lower)}, {"token": F.col("wanted")}).join(q.select("query_id", "bank", F.size("keywords").alias("phrases"), F.size("wanted").alias("tokens")), ["query_id", "bank"])
 
@@ -89,7 +90,7 @@ def answer_field_score(spark, d):
     """Six fields in turn, one blank and one not known."""
     q = queries(spark, d)
     field = F.element_at(F.array(*[F.lit(x) for x in (" ", "location", "Reason", "keywords", "time", "other")]), (F.col("query_id") % 6 + 1).cast("int"))
-    return R.answer_field_score(memories(spark, d), q.select("query_id", "bank", field.alias("answer_field")))
+    return R.answer_field_score(bank(spark, d), q.select("query_id", "bank", field.alias("answer_field")))
 
 
 FIELD = f"with {SQL_MEM}, {SQL_Q} select query_id, bank, record_idx, case query_id % 6 when 0 then (trim(content) <> '')::int when 2 then (trim(coalesce(reason, '')) <> '')::int when 3 then (len(mem.keywords) > 0)::int when 4 then (source_time is not null)::int else 0 end::double as score from mem join q using (bank)"
@@ -118,14 +119,14 @@ ss as (select query_id, bank, record_idx, ty, tm, lc, phrase, token, round(raw,
 
 
 def structured_score(spark, d):
-    return R.structured_scores(memories(spark, d), queries(spark, d)).select("query_id", "bank", "record_idx", "type_score", "time_score", "location_score", "phrase_score", "token_score", _r()).where("score > 0")
+    return R.structured_scores(bank(spark, d), queries(spark, d)).select("query_id", "bank", "record_idx", "type_score", "time_score", "location_score", "phrase_score", "token_score", _r()).where("score > 0")
 
 
 STRUCT = f"with {SQL_MEM}, {SQL_Q}, {_STRUCT} select query_id, bank, record_idx, ty as type_score, tm as time_score, lc as location_score, round(phrase, 9) as phrase_score, round(token, 9) as token_score, score from ss where score > 0"
 
 
 def structured_topk(spark, d):
-    return R.search_structured(memories(spark, d), queries(spark, d), K).select("query_id", "bank", "record_idx", "rank", _r())
+    return R.search_structured(bank(spark, d), queries(spark, d), K).select("query_id", "bank", "record_idx", "rank", _r())
 
 
 STRUCT_TOPK = f"with {SQL_MEM}, {SQL_Q}, {_STRUCT} select query_id, bank, record_idx, {_RANK}, score from ss {_TOP.format(k=K)}"
@@ -138,11 +139,11 @@ ls as (select lq.query_id, lt.bank, record_idx, round(0.15::double * list_contai
 
 
 def structured_lexical_score(spark, d):
-    return R.lexical_scores(memories(spark, d), queries(spark, d)).select("query_id", "bank", "record_idx", _r()).where("score > 0")
+    return R.lexical_scores(bank(spark, d), queries(spark, d)).select("query_id", "bank", "record_idx", _r()).where("score > 0")
 
 
 def structured_lexical_topk(spark, d):
-    return R.search_lexical(memories(spark, d), queries(spark, d), 40).select("query_id", "bank", "record_idx", "rank", _r())
+    return R.search_lexical(bank(spark, d), queries(spark, d), 40).select("query_id", "bank", "record_idx", "rank", _r())
 
 
 LEX_SCORE = f"with {SQL_MEM}, {SQL_Q}, {_LEX} select query_id, bank, record_idx, score from ls where score > 0"
@@ -150,21 +151,21 @@ LEX_TOPK = f"with {SQL_MEM}, {SQL_Q}, {_LEX} select query_id, bank, record_idx,
 
 
 def time_constraint_match(spark, d):
-    return R.time_matches(memories(spark, d), queries(spark, d)).select("query_id", "bank", "record_idx", "score")
+    return R.time_matches(bank(spark, d), queries(spark, d)).select("query_id", "bank", "record_idx", "score")
 
 
 def time_constraint_filter(spark, d):
-    return R.time_matches(memories(spark, d), queries(spark, d)).where("score > 0").groupBy("query_id", "bank").agg(F.count(F.lit(1)).alias("n"), F.min("record_idx").alias("first"), F.max("record_idx").alias("last"))
+    return R.time_matches(bank(spark, d), queries(spark, d)).where("score > 0").groupBy("query_id", "bank").agg(F.count(F.lit(1)).alias("n"), F.min("record_idx").alias("first"), F.max("record_idx").alias("last"))
 
 
 TC_MATCH = f"with {SQL_MEM}, {SQL_Q}, {SQL_TC} select query_id, bank, record_idx, case when {TC_MEETS} then 1.0::double else 0.0::double end as score from mem join tc using (bank)"
 TC_FILTER = f"with {SQL_MEM}, {SQL_Q}, {SQL_TC} select query_id, bank, count(*) as n, min(record_idx) as first, max(record_idx) as last from mem join tc using (bank) where {TC_MEETS} group by 1, 2"
 
 
-def _routes(spark, d):
-    """Ranked lists of three routes with their contents."""
-    m, q = memories(spark, d), queries(spark, d)
-    lists = [("bm25", R.search_bm25(m, q, K)), ("structured", R.search_structured(m, q, K)), ("dense", R.search_dense(text_vectors(spark, d), anchor_vectors(spark, d, q), K))]
+def _routes(spark, d, asked=None):
+    """Ranked lists of three routes with their contents, for the queries ``asked`` (default all)."""
+    m, q = bank(spark, d), queries(spark, d) if asked is None else asked
+    lists = [("bm25", R.search_bm25(m, q, K, index=bank_index(spark, d))), ("structured", R.search_structured(m, q, K)), ("dense", R.search_dense(text_vectors(spark, d), anchor_vectors(spark, d, q), K))]
     rows = [x.select("query_id", "bank", F.lit(n).alias("route"), "rank", _r(), "record_idx") for n, x in lists]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).join(m.select("bank", "record_idx", "content"), ["bank", "record_idx"])
 
@@ -218,10 +219,10 @@ def route_dispatch(spark, d):
     """Each query by its mode: five modes in turn."""
     modes = F.element_at(F.array(*[F.lit(x) for x in ("", "rrf", "hybrid_legacy", "raw", "other")]), (F.col("query_id") % 5 + 1).cast("int"))
     q = queries(spark, d).withColumn("route", R.route_of(modes))
-    m = memories(spark, d)
+    m = bank(spark, d)
     take = lambda r: q.where(F.col("route") == r)
-    fused = R.fuse(_routes(spark, d), ["bm25", "structured", "dense"]).join(take("fused").select("query_id", "bank"), ["query_id", "bank"], "left_semi")
-    parts = [R.search_bm25(m, take("bm25"), K).withColumn("route", F.lit("bm25")), R.search_structured(m, take("structured"), K).withColumn("route", F.lit("structured")), R.search_dense(text_vectors(spark, d), anchor_vectors(spark, d, take("dense")), K).withColumn("route", F.lit("dense")), fused.withColumnRenamed("position", "rank").withColumn("route", F.lit("fused"))]
+    fused = R.fuse(_routes(spark, d, take("fused")), ["bm25", "structured", "dense"])
+    parts = [R.search_bm25(m, take("bm25"), K, index=bank_index(spark, d)).withColumn("route", F.lit("bm25")), R.search_structured(m, take("structured"), K).withColumn("route", F.lit("structured")), R.search_dense(text_vectors(spark, d), anchor_vectors(spark, d, take("dense")), K).withColumn("route", F.lit("dense")), fused.withColumnRenamed("position", "rank").withColumn("route", F.lit("fused"))]
     out = [p.select("query_id", "bank", "route", "rank", "record_idx") for p in parts]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
@@ -231,8 +232,8 @@ union all select * from (with {SQL_MEM}, {SQL_Q}, {_ROUTES} select query_id, ban
 
 
 def format_memories(spark, d):
-    m = memories(spark, d).select("bank", "record_idx", "content", "reason", "purpose", F.date_format("source_time", "yyyy-MM-dd'T'HH:mm:ss").alias("source_time"))
-    top = R.search_bm25(memories(spark, d), queries(spark, d), 5).select("query_id", "bank", "record_idx", "rank").join(m, ["bank", "record_idx"])
+    m = bank(spark, d).select("bank", "record_idx", "content", "reason", "purpose", F.date_format("source_time", "yyyy-MM-dd'T'HH:mm:ss").alias("source_time"))
+    top = R.search_bm25(bank(spark, d), queries(spark, d), 5, index=bank_index(spark, d)).select("query_id", "bank", "record_idx", "rank").join(m, ["bank", "record_idx"])
     every = queries(spark, d).select("query_id", "bank").join(top, ["query_id", "bank"], "left")
     return R.format_memories(every, ["query_id", "bank"]).select("query_id", "bank", F.md5("memories").alias("memories_md5"))
 

@@ -110,9 +110,10 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with a vector of their content, reason and purpose, by the embedding port that SQL can follow."""
+    """Records with a vector of their content, reason and purpose, by the embedding port that SQL can follow; stored at first use."""
     m = bank(spark, sf_dir).select("bank", "record_idx", joined(" ", F.col("content"), F.col("reason"), F.col("purpose")).alias("text"))
-    return embed(m, TokenCountEmbedder, unit=False).drop("text")
+    path = once(spark, "vectors", version_of(spark, f"{sf_dir}/documents.parquet"), lambda to: embed(m, TokenCountEmbedder, unit=False).drop("text").write.parquet(to))
+    return spark.read.parquet(path)
 
 
 def anchor_vectors(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:

@@ -155,7 +155,7 @@ def time_constraint_match(spark, d):
 
 
 def time_constraint_filter(spark, d):
-    return R.time_matches(bank(spark, d), queries(spark, d)).where("score > 0").groupBy("query_id", "bank").agg(F.count(F.lit(1)).alias("n"), F.min("record_idx").alias("first"), F.max("record_idx").alias("last"))
+    return R.time_hits(bank(spark, d), queries(spark, d)).groupBy("query_id", "bank").agg(F.count(F.lit(1)).alias("n"), F.min("record_idx").alias("first"), F.max("record_idx").alias("last"))
 
 
 TC_MATCH = f"with {SQL_MEM}, {SQL_Q}, {SQL_TC} select query_id, bank, record_idx, case when {TC_MEETS} then 1.0::double else 0.0::double end as score from mem join tc using (bank)"

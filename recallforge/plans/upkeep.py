@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recallforge.operators import judge as J
+from recallforge.operators import tiles as T
 from recallforge.operators import upkeep as U
-from recallforge.plans.fixtures import SQL_MEM, memories, table, vectors
+from recallforge.plans.fixtures import SQL_MEM, bank, table, vectors
 from recallforge.plans.scalars import _NORMQ
+from recallforge.sources.shared import stash
 
 
 def pairwise_similarity_join(spark, d):
-    return U.similar_pairs(vectors(spark, d), 0.3).select("bank", "i", "j", F.round("similarity", 9).alias("similarity"))
+    return T.similar_pairs(vectors(spark, d), 0.3).select("bank", "i", "j", F.round("similarity", 9).alias("similarity"))
 
 
 _VEC = "v as (select label::varchar as bank, vec_id as idx, embedding::double[] as e from embeddings)"
@@ -21,14 +23,14 @@ PAIRWISE = f"with {_VEC} select a.bank, a.idx as i, b.idx as j, round(list_cosin
 
 def pairwise_stats(spark, d):
     v = vectors(spark, d)
-    return U.pair_stats(v, U.similar_pairs(v, 0.3))
+    return U.pair_stats(v, T.similar_pairs(v, 0.3))
 
 
 PAIR_STATS = f"with {_VEC}, h as (select a.bank from v a join v b on a.bank = b.bank and a.idx < b.idx where list_cosine_similarity(a.e, b.e) >= 0.3) select v.bank, count(*) as n, (count(*) * (count(*) - 1) // 2)::bigint as pairs_checked, coalesce(min(hits), 0)::bigint as hits from v left join (select bank, count(*) as hits from h group by 1) using (bank) group by v.bank"
 
 
 def keyword_jaccard_pairs(spark, d):
-    return U.keyword_pairs(memories(spark, d), 0.3, ("bank",)).select("bank", "i", "j", F.round("jaccard", 9).alias("jaccard"))
+    return U.keyword_pairs(bank(spark, d), 0.3, ("bank",)).select("bank", "i", "j", F.round("jaccard", 9).alias("jaccard"))
 
 
 def _pairs_sql(block, least):
@@ -40,7 +42,7 @@ JACCARD = f"with {SQL_MEM}, {_pairs_sql(['bank'], 0.3)} select bank, i, j, round
 
 
 def _blocked(spark, d):
-    return U.blocked_pairs(memories(spark, d), 0.1, 0.7)
+    return U.blocked_pairs(bank(spark, d), 0.1, 0.7)
 
 
 def blocked_conflict_pairs(spark, d):
@@ -57,7 +59,7 @@ BLOCKED = f"with {SQL_MEM}, {_BLOCKED} select bank, memory_type, idx_new, idx_ol
 
 
 def blocked_conflict_stats(spark, d):
-    m = memories(spark, d)
+    m = bank(spark, d)
     cand = U.count_cosine(m, U.keyword_pairs(m, 0.1))
     s = cand.groupBy("bank").agg(F.count(F.lit(1)).alias("keyword_candidates"), F.count_if(F.col("similarity") >= 0.7).alias("pairs_to_llm"))
     n = m.groupBy("bank").agg(F.count(F.lit(1)).alias("n"))
@@ -73,7 +75,7 @@ left join (select bank, count(distinct x) as e from (select bank, i as x from bp
 
 def time_order_pairs(spark, d):
     """Neighbouring records of a bank, every fifth without a time."""
-    m = memories(spark, d).select("bank", "idx", F.when(F.col("idx") % 5 != 0, F.col("source_time")).alias("t"))
+    m = bank(spark, d).select("bank", "idx", F.when(F.col("idx") % 5 != 0, F.col("source_time")).alias("t"))
     w = Window.partitionBy("bank").orderBy("idx")
     p = m.select("bank", F.col("idx").alias("i"), F.col("t").alias("time_i"), F.lead("idx").over(w).alias("j"), F.lead("t").over(w).alias("time_j")).where("j is not null")
     return U.order_pairs(p).select("bank", "i", "j", "idx_new", "idx_old")
@@ -84,13 +86,13 @@ select bank, i, j, case when tj > ti then j else i end as idx_new, case when tj
 
 
 def _decisions(spark, d):
-    """Decisions over keyword pairs: an action by the sum of the two ids, some of them unknown, some merges with a text."""
-    p = U.keyword_pairs(memories(spark, d), 0.3, ("bank",)).select("bank", F.col("j").alias("idx_new"), F.col("i").alias("idx_old"))
+    """Stored decisions over keyword pairs: an action by the sum of the two ids, some of them unknown, some merges with a text."""
+    p = U.keyword_pairs(bank(spark, d), 0.3, ("bank",)).select("bank", F.col("j").alias("idx_new"), F.col("i").alias("idx_old"))
     w = Window.partitionBy("bank").orderBy("idx_new", "idx_old")
     s = F.col("idx_new") + F.col("idx_old")
     action = F.element_at(F.array(*[F.lit(x) for x in ("MERGE", "SUPERSEDE", "KEEP_BOTH", "MERGE", "OTHER")]), (s % 5 + 1).cast("int"))
     text = F.when(s % 2 == 0, F.concat(F.lit("merged "), F.col("idx_new").cast("string"), F.lit("+"), F.col("idx_old").cast("string"))).otherwise(F.lit(""))
-    return p.select("*", F.row_number().over(w).alias("ord"), action.alias("decision"), text.alias("merged_content"))
+    return stash(p.select("*", F.row_number().over(w).alias("ord"), action.alias("decision"), text.alias("merged_content")), "decisions")
 
 
 _DEC = f"""{_pairs_sql(["bank"], 0.3)}, ds as (select bank, j as idx_new, i as idx_old, row_number() over (partition by bank order by j, i) as ord, ['MERGE', 'SUPERSEDE', 'KEEP_BOTH', 'MERGE', 'OTHER'][(i + j) % 5 + 1] as decision, case when (i + j) % 2 = 0 then 'merged ' || j || '+' || i else '' end as merged_content from jp),
@@ -102,7 +104,7 @@ _AFTER = "af as (select bank, idx as seq, 'kept' as origin, idx, content from me
 
 
 def apply_decisions(spark, d):
-    return U.apply_decisions(memories(spark, d), _decisions(spark, d)).select("bank", "seq", "origin", "idx", F.md5("content").alias("content_md5"))
+    return U.apply_decisions(bank(spark, d), _decisions(spark, d)).select("bank", "seq", "origin", "idx", F.md5("content").alias("content_md5"))
 
 
 APPLY = f"with recursive {SQL_MEM}, {_DEC}, {_AFTER} select bank, seq, origin, idx, md5(content) as content_md5 from af"
@@ -116,7 +118,7 @@ APPLY_STATS = f"with recursive {SQL_MEM}, {_DEC} select bank, count(*) as decisi
 
 
 def update_report(spark, d):
-    m = memories(spark, d)
+    m = bank(spark, d)
     return U.update_report(m, U.apply_decisions(m, _decisions(spark, d)))
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +15,12 @@ from recallforge.plans.upkeep import _DEC, _AFTER, _decisions
 from recallforge.ports import EchoChat, TokenCountEmbedder, chat, embed
 from recallforge.sources import discover as D
 from recallforge.sources import jsonio as J
+from recallforge.sources.shared import new_folder
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset a temporary one, on one machine only."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = tempfile.mkdtemp(prefix="recallforge-")
-    return f"{top.rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
+    """A new folder of this application, deleted at its exit."""
+    return new_folder(spark)
 
 
 def load_records(spark, d):
@@ -174,12 +167,12 @@ def json_strict(spark, d):
     """Answers round a JSON object: bare, fenced, within prose, after a brace that opens nothing, and none."""
     body = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("source").alias("s")))
     ways = [body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("Here it is: "), body, F.lit(" done")), F.concat(F.lit("{ not so "), body), F.lit("nothing here")]
-    x = table(spark, d, "documents").where(F.col("source").isNotNull()).select("doc_id", F.element_at(F.array(*ways), (F.col("doc_id") % 5 + 1).cast("int")).alias("x"))
+    x = table(spark, d, "documents").select("doc_id", F.element_at(F.array(*ways), (F.col("doc_id") % 5 + 1).cast("int")).alias("x"))
     j = P.json_strict(F.col("x"))
     return x.select("doc_id", F.get_json_object(j, "$.id").cast("long").alias("id"), F.get_json_object(j, "$.s").alias("s"))
 
 
-STRICT = "select doc_id, case when doc_id % 5 < 4 then doc_id end as id, case when doc_id % 5 < 4 then source end as s from documents where source is not null"
+STRICT = "select doc_id, case when doc_id % 5 < 4 then doc_id end as id, case when doc_id % 5 < 4 then source end as s from documents"
 
 
 def chat_responses(spark, d):

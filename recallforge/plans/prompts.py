@@ -33,6 +33,14 @@ Newer ({TIME_NEW}): {NEW}
 Older ({TIME_OLD}): {OLD}
 Reply with JSON {"decision": "MERGE" or "SUPERSEDE" or "KEEP_BOTH", "merged_content": "", "reasoning": ""}."""
 
+DECIDE_DIMENSION = """Two memories of the kind {TYPE} may be about the same thing.
+Newer, told {TIME_NEW}: {NEW}
+ it happened: {WHEN_NEW}; keywords: {KEYWORDS_NEW}; reason: {REASON_NEW}; purpose: {PURPOSE_NEW}
+Older, told {TIME_OLD}: {OLD}
+ it happened: {WHEN_OLD}; keywords: {KEYWORDS_OLD}; reason: {REASON_OLD}; purpose: {PURPOSE_OLD}
+Reply with JSON {"decision": "MERGE" or "SUPERSEDE" or "KEEP_BOTH", "merged_content": "", "merged_dimension": {"memory_type": "", "time": "",
+"location": "", "keywords": [], "reason": "", "purpose": ""}, "reasoning": ""}; leave empty what stays as the newer has it."""
+
 
 def fill(template: str, **columns: Column) -> Column:
     """The template with each {NAME} replaced by a column; null and blank values become ``[unknown]`` for DATE and empty else."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallforge.plans import edges, retrieval, scalars, segments, upkeep
+from recallforge.plans import edges, retrieval, runs, scalars, segments, upkeep
 
-QUERIES = {**scalars.QUERIES, **segments.QUERIES, **retrieval.QUERIES, **upkeep.QUERIES, **edges.QUERIES}
+QUERIES = {**scalars.QUERIES, **segments.QUERIES, **retrieval.QUERIES, **upkeep.QUERIES, **edges.QUERIES, **runs.QUERIES}
 
 
 def queries():

@@ -8,10 +8,12 @@ import re
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType, StructType
@@ -53,18 +55,50 @@ def _also(rows: DataFrame, **columns: str | DataType) -> StructType:
     return out
 
 
-def chat(rows: DataFrame, open_port: Callable[[], ChatPort], prompt: str = "prompt", tries: int = 5, accept: Callable[[str], bool] = bool, pause: Callable[[int], float] = lambda a: min(2.0 * a, 10.0)) -> DataFrame:
-    """Rows with response, ok, error and prompt_key (SHA-256 of the prompt). One port a partition.
+#: Token counts that a chat answer may carry.
+USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
 
-    Lost executors repeat calls: store responses by prompt_key before use and anti-join them on the next run.
+
+def deal(openers: list[Callable[[], ChatPort]]) -> Callable[[], ChatPort]:
+    """One way to open a port out of several endpoints, dealt by partition."""
+
+    def open_port() -> ChatPort:
+        at = TaskContext.get()
+        return openers[(at.partitionId() if at else 0) % len(openers)]()
+
+    return open_port
+
+
+def chat(rows: DataFrame, open_port: Callable[[], ChatPort], prompt: str = "prompt", tries: int = 5, accept: Callable[[str], bool] = bool, pause: Callable[[int], float] = lambda a: min(2.0 * a, 10.0), parallel: int = 1) -> DataFrame:
+    """Rows with response, ok, error, prompt_key (SHA-256 of the prompt) and the token counts of the answer (0 where the port tells none).
+
+    One port a partition, at most ``parallel`` calls of it at a time; equal prompts of an Arrow batch are asked once. A port whose
+    ``ask`` gives (text, usage) is asked by it, any other is called for the text. Lost executors repeat calls: a ``Ledger`` keeps answers and asks for new prompts only.
     """
-    schema = _also(rows, response="string", ok="boolean", error="string", prompt_key="string")
+    schema = _also(rows, response="string", ok="boolean", error="string", prompt_key="string", **dict.fromkeys(USAGE, "integer"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         port = open_port()
-        for f in frames:
-            got = [call_with_retries(lambda p=p: port(p), tries, accept, pause) for p in f[prompt]]
-            yield f.assign(response=[g[0] for g in got], ok=[g[1] for g in got], error=[g[2] for g in got], prompt_key=[hashlib.sha256((p or "").encode()).hexdigest() for p in f[prompt]])
+
+        def one(p: str) -> tuple:
+            spent = dict.fromkeys(USAGE, 0)
+
+            def call() -> str:
+                if not hasattr(port, "ask"):
+                    return port(p)
+                text, usage = port.ask(p)
+                spent.update({k: spent[k] + usage.get(k, 0) for k in USAGE})  # tries that were not accepted cost tokens too
+                return text
+
+            return (*call_with_retries(call, tries, accept, pause), *spent.values())
+
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            for f in frames:
+                asked = dict.fromkeys(f[prompt])
+                got = dict(zip(asked, pool.map(one, asked), strict=True))
+                answers = list(zip(*[got[p] for p in f[prompt]], strict=True)) or [[]] * 6
+                keys = [hashlib.sha256((p or "").encode()).hexdigest() for p in f[prompt]]
+                yield f.assign(response=list(answers[0]), ok=list(answers[1]), error=list(answers[2]), prompt_key=keys, **{u: list(a) for u, a in zip(USAGE, answers[3:], strict=True)})
 
     return rows.mapInPandas(run, schema)
 
@@ -132,21 +166,25 @@ class TokenCountEmbedder:
 
 
 class HttpChat:
-    """Chat over HTTP by the chat-completions protocol: POST <base>/chat/completions; ``usage`` holds the token counts of the last answer. Parameters of None are not sent."""
+    """Chat over HTTP by the chat-completions protocol: POST <base>/chat/completions; ``ask`` gives the text and its token counts, and may be called from several threads. Parameters of None are not sent."""
 
     def __init__(self, base: str, model: str, key: str = "", timeout: float = 300.0, temperature: float | None = 0.0, top_p: float | None = None, max_tokens: int | None = None, open_url: Callable = urllib.request.urlopen):
         self.url, self.key, self.timeout, self.open_url = base.rstrip("/") + "/chat/completions", key, timeout, open_url
         self.body = {k: v for k, v in (("model", model), ("temperature", temperature), ("top_p", top_p), ("max_tokens", max_tokens)) if v is not None}
-        self.usage: dict[str, int] = {}
+        self.usage: dict[str, int] = {}  # of the last call that was not an ``ask``
 
-    def __call__(self, prompt: str) -> str:
+    def ask(self, prompt: str) -> tuple[str, dict[str, int]]:
         head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
         asked = urllib.request.Request(self.url, json.dumps(self.body | {"messages": [{"role": "user", "content": prompt}]}).encode(), head)
         with self.open_url(asked, timeout=self.timeout) as got:
             reply = json.loads(got.read())
-        self.usage = {k: int((reply.get("usage") or {}).get(k) or 0) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
+        usage = {k: int((reply.get("usage") or {}).get(k) or 0) for k in USAGE}
         choices = reply.get("choices") or [{}]
-        return (choices[0].get("message") or {}).get("content") or ""
+        return (choices[0].get("message") or {}).get("content") or "", usage
+
+    def __call__(self, prompt: str) -> str:
+        text, self.usage = self.ask(prompt)
+        return text
 
 
 class OnnxEmbedder:
@@ -181,10 +219,14 @@ class OnnxEmbedder:
 
 
 class EchoChat:
-    """Answers every prompt with a fixed text or a function of the prompt."""
+    """Answers every prompt with a fixed text or a function of the prompt; a prompt costs its characters, an answer its own."""
 
     def __init__(self, answer: str | Callable[[str], str]):
         self.answer = answer
 
+    def ask(self, prompt: str) -> tuple[str, dict[str, int]]:
+        text = self(prompt)
+        return text, {"prompt_tokens": len(prompt or ""), "completion_tokens": len(text), "total_tokens": len(prompt or "") + len(text)}
+
     def __call__(self, prompt: str) -> str:
         return self.answer(prompt) if callable(self.answer) else self.answer

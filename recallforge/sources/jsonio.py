@@ -68,6 +68,22 @@ def to_do(inputs: DataFrame, done: DataFrame, key: list[str], ok: Column | None
     return inputs.join(finished.select(*key).distinct(), key, "left_anti")
 
 
+def present(inputs: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """Inputs whose key is among ``found``, such as samples that have an input file; each once, however often it is found."""
+    return inputs.join(found.select(*key), key, "left_semi")
+
+
+def top_records(keys: DataFrame, lists: DataFrame, key: list[str], n: int, record: str) -> DataFrame:
+    """The first ``n`` records, of schema ``record``, of each key's JSON list (column ``value``), with ``rank`` from 1; one row with a null rank for a key without.
+
+    A missing, broken or cut-off list, and JSON that is no list, count as empty, which ``corrupt`` tells (null where there is no list at all).
+    """
+    good = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("[")
+    read = lists.select(*key, F.coalesce(~good, F.lit(True)).alias("corrupt"), F.when(good, F.from_json("value", f"array<{record}>")).alias("r"))
+    rows = read.select(*key, "corrupt", F.posexplode_outer(F.slice(F.coalesce("r", F.array().cast(f"array<{record}>")), 1, n)).alias("at", "record"))
+    return keys.join(rows, key, "left").select(*keys.columns, (F.col("at") + 1).alias("rank"), "record", "corrupt")
+
+
 def write_json(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
     """One JSON object a row; timestamps with a blank between date and time, null fields kept."""
     w = df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").option("ignoreNullFields", False)

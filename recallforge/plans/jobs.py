@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from recallforge.functions import parsing as P
 from recallforge.operators import judge as J
@@ -20,7 +19,8 @@ from recallforge.operators import upkeep as U
 from recallforge.plans import prompts
 from recallforge.ports import USAGE, ChatPort, CompressPort, chat
 from recallforge.sources.ledger import Ledger
-from recallforge.sources.shared import stash
+from recallforge.sources.jsonio import append_manifest, write_json, write_texts
+from recallforge.sources.shared import numbered, stash
 
 _RESULT = ("prompt", "response", "ok", "error", "prompt_key", *USAGE)
 
@@ -96,6 +96,19 @@ def judge(answers: DataFrame, gold: DataFrame, open_port: Callable[[], ChatPort]
     return labelled.unionByName(lost.withColumn("label", F.lit("")))
 
 
+def run_judge(answers: DataFrame, gold: DataFrame, open_port: Callable[[], ChatPort], folder: str, run: str, sets: dict[str, Column], ledger: Ledger | None = None, **how) -> DataFrame:
+    """Judge ``answers`` and write, below ``folder``, ``judged`` (a row an answer), ``report`` as JSON, ``markdown`` as text, and a row of the ``runs`` manifest with counts observed on the way. Returns the report."""
+    spark, seen = answers.sparkSession, Observation("judged")
+    judged = judge(answers, gold, open_port, ledger=ledger, **how)
+    counts = [F.count(F.lit(1)).alias("answers"), F.count_if(F.col("status") == "missing_gold").alias("missing_gold"), F.count_if((F.col("status") == "ok") & (F.col("label") == "")).alias("unlabelled"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens")]
+    judged.observe(seen, *counts).write.mode("overwrite").parquet(f"{folder}/judged")
+    report = J.accuracy(spark.read.parquet(f"{folder}/judged"), sets)
+    write_json(report, f"{folder}/report")
+    write_texts(spark.createDataFrame([(run, J.markdown(report))], "run string, text string"), f"{folder}/markdown", "text", ["run"])
+    append_manifest(spark, f"{folder}/runs", run, "judge", seen.get)
+    return report
+
+
 #: Parts of a dimension as a model gives them.
 _DIMENSION = "struct<memory_type:string,time:string,location:string,reason:string,purpose:string,keywords:array<string>>"
 
@@ -119,9 +132,9 @@ def decide(memories: DataFrame, open_port: Callable[[], ChatPort], least: float
     got = _ask(both.select("bank", "idx_new", "idx_old", prompts.fill(template, **parts).alias("prompt")), open_port, ledger, f"decide-{method}", tries=tries)
     body = P.json_strict(F.col("response"))
     given = F.when(F.col("ok"), F.from_json(F.get_json_object(body, "$.merged_dimension"), _DIMENSION)) if method == "dimension" else F.lit(None).cast(_DIMENSION)
-    order = F.row_number().over(Window.partitionBy("bank").orderBy("idx_new", "idx_old"))  # decisions are taken in one order
     text = lambda p: F.coalesce(F.get_json_object(body, p), F.lit(""))
-    return stash(got.select("bank", "idx_new", "idx_old", order.alias("ord"), F.when(F.col("ok"), P.parse_decision(F.col("response"))).otherwise("KEEP_BOTH").alias("decision"), text("$.merged_content").alias("merged_content"), given.alias("merged_dimension"), text("$.reasoning").alias("reasoning"), "error", *USAGE), "decisions")
+    read = got.select("bank", "idx_new", "idx_old", F.when(F.col("ok"), P.parse_decision(F.col("response"))).otherwise("KEEP_BOTH").alias("decision"), text("$.merged_content").alias("merged_content"), given.alias("merged_dimension"), text("$.reasoning").alias("reasoning"), "error", *USAGE)
+    return stash(numbered(stash(read, "answers"), ["bank"], ["idx_new", "idx_old"], "ord"), "decisions")  # decisions are taken in one order
 
 
 def compress_texts(rows: DataFrame, open_port: Callable[[], CompressPort], ledger: Ledger, text: str = "content", rate: float = 0.8, tries: int = 3, **how) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from recallforge.functions.text import clean
@@ -51,3 +51,11 @@ def fill(template: str, **columns: Column) -> Column:
             value = F.when(value == "", F.lit("[unknown]")).otherwise(value)
         out = F.replace(out, F.lit("{" + name + "}"), value)
     return out
+
+
+def load(spark: SparkSession, path: str | None, default: str) -> str:
+    """The template in a text file that Spark can read; ``default`` without a path or for a blank file."""
+    if not path:
+        return default
+    text = spark.read.text(path, wholetext=True).first()
+    return text["value"] if text and (text["value"] or "").strip() else default

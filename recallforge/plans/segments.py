@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recallforge.functions import parsing as P
 from recallforge.functions.text import iso
 from recallforge.operators import segment as G
+from recallforge.sources.shared import numbered
 from recallforge.plans.fixtures import ISO_TS, SQL_MESSAGES, messages
 from recallforge.plans.scalars import PROMPT, RULE
 from recallforge.ports import compress_offline
@@ -127,10 +128,8 @@ select sample, count(*) filter (where n > 0) as ok_count, count(*) filter (where
 
 def shard_assign(spark, d):
     """Samples dealt over four shards by their place in the sorted list."""
-    from pyspark.sql.window import Window
-
-    c = messages(spark, d).select("session").distinct()
-    return c.withColumn("shard", F.pmod(F.row_number().over(Window.orderBy("session")) - 1, F.lit(4)))  # a list of runs to start, not of rows
+    c = numbered(messages(spark, d).select("session").distinct(), [], ["session"], "n")
+    return c.select("session", F.pmod(F.col("n") - 1, F.lit(4)).cast("int").alias("shard"))
 
 
 SHARD = "select session, ((row_number() over (order by session) - 1) % 4)::int as shard from (select distinct printf('session_%04d', conv_id) as session from conversations)"

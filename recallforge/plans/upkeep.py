@@ -10,7 +10,7 @@ from recallforge.operators import tiles as T
 from recallforge.operators import upkeep as U
 from recallforge.plans.fixtures import SQL_MEM, bank, table, vectors
 from recallforge.plans.scalars import _NORMQ
-from recallforge.sources.shared import stash
+from recallforge.sources.shared import numbered, stash
 
 
 def pairwise_similarity_join(spark, d):
@@ -88,11 +88,10 @@ select bank, i, j, case when tj > ti then j else i end as idx_new, case when tj
 def _decisions(spark, d):
     """Stored decisions over keyword pairs: an action by the sum of the two ids, some of them unknown, some merges with a text."""
     p = U.keyword_pairs(bank(spark, d), 0.3, ("bank",)).select("bank", F.col("j").alias("idx_new"), F.col("i").alias("idx_old"))
-    w = Window.partitionBy("bank").orderBy("idx_new", "idx_old")
     s = F.col("idx_new") + F.col("idx_old")
     action = F.element_at(F.array(*[F.lit(x) for x in ("MERGE", "SUPERSEDE", "KEEP_BOTH", "MERGE", "OTHER")]), (s % 5 + 1).cast("int"))
     text = F.when(s % 2 == 0, F.concat(F.lit("merged "), F.col("idx_new").cast("string"), F.lit("+"), F.col("idx_old").cast("string"))).otherwise(F.lit(""))
-    return stash(p.select("*", F.row_number().over(w).alias("ord"), action.alias("decision"), text.alias("merged_content")), "decisions")
+    return stash(numbered(p, ["bank"], ["idx_new", "idx_old"], "ord").select("*", action.alias("decision"), text.alias("merged_content")), "decisions")
 
 
 _DEC = f"""{_pairs_sql(["bank"], 0.3)}, ds as (select bank, j as idx_new, i as idx_old, row_number() over (partition by bank order by j, i) as ord, ['MERGE', 'SUPERSEDE', 'KEEP_BOTH', 'MERGE', 'OTHER'][(i + j) % 5 + 1] as decision, case when (i + j) % 2 = 0 then 'merged ' || j || '+' || i else '' end as merged_content from jp),

@@ -36,7 +36,7 @@ def read_memories(spark: SparkSession, path: str) -> DataFrame:
     a bare list. The window is window_dir, else window_index, 0 included, else all_memories or the window folder.
     """
     root = path.rstrip("/") + "/"
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     parts = F.split(F.substring_index(F.col("_metadata.file_path"), root, -1), "/")
     files = text.select("value", F.size(parts).alias("depth"), F.get(parts, F.lit(0)).alias("bank"), F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("all_memories").alias("window")).where("depth in (2, 3)")
     least = files.groupBy("bank").agg(F.min("depth").alias("least"))

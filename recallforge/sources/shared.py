@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows (a few numbers each) up to which ``side`` broadcasts.
 MAX_SIDE = 1_000_000
@@ -62,6 +63,19 @@ def side(df: DataFrame, limit: int = MAX_SIDE) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def numbered(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row among those of its ``key``, in ``order``, without sorting a key in one task: rows are sorted over ranges, and what lies in earlier ranges is added."""
+    dealt = stash(df.repartitionByRange(*key, *order).withColumn("__part", F.spark_partition_id()), "numbered")
+    parts = dealt.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*key or [F.lit(0)]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ahead = parts.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__part").alias("__p"), F.sum("__n").over(earlier).alias("__ahead")).where("__ahead is not null")
+    same = F.col("__part") == F.col("__p")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    local = F.row_number().over(Window.partitionBy("__part", *key).orderBy(*order))
+    return dealt.withColumn("__at", local).join(side(ahead), same, "left").withColumn(out, (F.col("__at") + F.coalesce("__ahead", F.lit(0))).cast("long")).select(*df.columns, out)
+
+
 def version_of(spark: SparkSession, path: str) -> str:
     """Changes whenever files of a Parquet table do: paths, sizes and times of all of them."""
     f = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()

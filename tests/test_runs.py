@@ -12,11 +12,14 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 from pyspark.sql import functions as F
 
+from recallforge import quickstart
+from recallforge import report as report_cli
 from recallforge.operators import segment as G
-from recallforge.plans import jobs
+from recallforge.plans import jobs, prompts
 from recallforge.ports import EchoChat, HttpChat, chat, deal
 from recallforge.sources import jsonio, memory_files
 from recallforge.sources.ledger import Ledger, config_hash
+from recallforge.sources.shared import numbered
 
 
 @pytest.fixture
@@ -144,3 +147,36 @@ def test_top_records_and_presence(spark):
     got = sorted((r["k"], r["rank"] or 0, r["record"]["a"] if r["record"] else None, r["corrupt"]) for r in jsonio.top_records(keys, lists, ["k"], 2, "struct<a:int>").collect())
     assert got == [(0, 1, 1, False), (0, 2, 2, False), (1, 0, None, True), (2, 0, None, True), (3, 0, None, False), (4, 0, None, True), (5, 0, None, None)]
     assert sorted(r["k"] for r in jsonio.present(keys, lists.unionByName(lists), ["k"]).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_quick_start_report_and_judge_run(spark, tmp_path, capsys):
+    got = quickstart.run(spark, quickstart.CHAT, quickstart.QUESTION, quickstart.ANSWER)
+    row = got.first()
+    assert (row["label"], row["gold"], row["memories"]) == ("CORRECT", "Lisbon", 2) and "Lisbon" in row["answer"]
+    answers = spark.createDataFrame([("c", "q1", "Lisbon", "1"), ("c", "q2", "Rome", "2"), ("c", "q3", "x", "1")], "conv string, question string, answer string, category string")
+    gold = spark.createDataFrame([("c", 0, "q1", "Lisbon"), ("c", 1, "Q2", "Paris")], "conv string, pos long, question string, gold string")
+    folder = str(tmp_path / "out")
+    report = jobs.run_judge(answers, gold, quickstart.scripted, folder, "r1", {"category": F.col("category")})
+    assert {(r["dimension"], r["value"], r["total"], r["correct"], r["missing"]) for r in report.collect()} == {("overall", "", 3, 1, 1), ("category", "1", 2, 1, 1), ("category", "2", 1, 0, 0)}
+    counts = spark.read.parquet(f"{folder}/runs").first()["counts"]
+    assert (counts["answers"], counts["missing_gold"], counts["unlabelled"]) == (3, 1, 0) and counts["total_tokens"] > 0
+    assert spark.read.json(f"{folder}/report").count() == 3 and "| overall |" in "\n".join(r["value"] for r in spark.read.text(f"{folder}/markdown").collect())
+    report_cli.main([f"{folder}/judged", "conv"])
+    assert "| conv | c | 3 | 1 | 33.33 |" in capsys.readouterr().out
+
+
+def test_numbers_and_templates(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), rng.random(), i) for i in range(300)]
+    got = numbered(spark.createDataFrame(rows, "k string, x double, i int").repartition(5), ["k"], ["x"], "n")
+    want = {i: 1 + sum(k2 == k and x2 < x for k2, x2, _ in rows) for k, x, i in rows}
+    assert {r["i"]: r["n"] for r in got.collect()} == want
+    (tmp_path / "t.txt").write_text("Ask {QUESTION}\nnow")
+    (tmp_path / "blank.txt").write_text(" ")
+    assert prompts.load(spark, str(tmp_path / "t.txt"), "d") == "Ask {QUESTION}\nnow" and prompts.load(spark, None, "d") == "d" == prompts.load(spark, str(tmp_path / "blank.txt"), "d")
+
+
+def test_memories_of_files_of_several_lines(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "all_memories.json").write_text(json.dumps({"memories": [{"content": "x", "dimension": {"memory_type": "fact"}}, {"content": "y"}]}, indent=2))
+    assert sorted((r["record_idx"], r["content"], r["memory_type"]) for r in jsonio.read_memories(spark, str(tmp_path)).collect()) == [(0, "x", "fact"), (1, "y", "other")]

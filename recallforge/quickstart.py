@@ -48,7 +48,7 @@ def run(spark: SparkSession, chat: list[tuple[str, str]], question: str, gold: s
     answers = jobs.answer(asked, fused, memories, open_port).withColumn("conv", F.col("bank"))
     truth = spark.createDataFrame([("demo", 0, question, gold)], "conv string, pos long, question string, gold string")
     judged = jobs.judge(answers, truth, open_port)
-    return judged.crossJoin(fused.agg(F.count(F.lit(1)).alias("memories"))).select("question", "memories", "answer", "reasoning", "gold", "status", "label", "conv")  # one row each
+    return judged.withColumn("memories", F.lit(fused.count())).select("question", "memories", "answer", "reasoning", "gold", "status", "label", "conv")
 
 
 def main() -> None:

@@ -581,5 +581,5 @@ def test_slots_of_shards_follow_the_mix(spark, docs, edges):
 
 def test_registry():
     names = list(registry.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names[:-1]] == list(range(1, 11)) and names[-1] == "pipeline"
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names[:-1]] == list(range(1, 14)) and names[-1] == "pipeline"
     assert set(registry.oracle_sql()) <= set(names)

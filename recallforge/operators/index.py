@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from recallforge.functions.text import tokens
 from recallforge.sources.shared import side
 
-SHARD, BLOCK = 1_024, 16
+SHARD, BLOCK = 1_024, 2
 #: Query terms up to which their weights go to the executors; beyond it ``search_index`` takes the queries in so many groups.
 MAX_TERMS = 2_000_000
 

@@ -419,8 +419,28 @@ def test_decontamination(spark, docs, edges, most):
                 assert (r["n_words"], r["n_hit"], r["contaminated"]) == want[i][:3], i
                 assert r["n_items"] == want[i][3] + ("904" in r["items"])
                 assert hashlib.sha256(",".join(sorted(r["items"])).encode()).hexdigest() == r["items_sha256"]
-    assert DC.decontaminate(empty(spark), bench).count() == 0
-    assert DC.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert DC.decontaminate(empty(spark), bench, most=most).count() == 0
+    assert DC.decontaminate(docs, bench.limit(0), most=most).where("n_hit > 0").count() == 0
+
+
+@pytest.mark.parametrize("most", [DC.MAX_BROADCAST_PRINTS, 0])
+def test_a_phrase_of_all_items_and_rows_without_keys(spark, most):
+    """Five words that all items share make no hit of their own; rows and items without an id are judged too."""
+    common = "please answer the following question"
+    body = lambda i: " ".join(f"i{i}x{j}" for j in range(20))
+    items = [(i, f"{common} {body(i)}") for i in range(300)] + [(None, "unnamed " + body(999)), (7, f"{common} {body(7)}"), (400, "eight words that make up a short item"), (401, "two words")]
+    texts = [(1, f"intro words {common} of mine and other things that no item has at all"), (2, f"{common} {body(7)}"), (2, "not the same row at all but the same id"), (None, f"x {body(8)}"), (None, None), (3, "unnamed " + body(999)), (4, "so Eight words: that make up a short item, two words and two words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in DC.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), bench, most=most).collect()]
+    named = [(i, t) for i, t in items if i is not None]
+    want = []
+    for i, t in texts:
+        n, hit, *_ = brute_hits({0: t}, items)[0]
+        found = [str(j) for j, x in dict(named).items() if brute_hits({0: t}, [(j, x)])[0][1]]
+        want.append((i, n, hit, sorted(found)))
+    order = lambda r: (str(r[0]), r[1:])
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert [w[3] for w in want] == [[], ["7"], [], ["8"], [], [], ["400", "401"]]
 
 
 # 9

@@ -1,13 +1,16 @@
-"""Whole results against independent forms: secrets by plain patterns, shards against a random deal."""
+"""Whole results against independent forms: secrets by plain patterns, shards against a random deal, quality scores by a plain refit."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from recallforge.llm import quality_classifier as QC
 from recallforge.llm import secrets as SE
 from recallforge.llm import sharding as SH
 
@@ -62,3 +65,52 @@ def test_shards_cut_few_links_and_are_even(spark):
     assert cut(lambda r: r["shard"]) < cut(lambda r: hash(("deal", r["doc_id"])) % 24) / 5
     assert len(loads) == 24 and max(loads.values()) - min(loads.values()) <= 2 * max(r["size"] for r in rows)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def plain_statistics(text):
+    """The statistics of a text, counted with plain Python."""
+    raw = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    if not w:
+        return [0.0] * len(QC.FEATURES)
+    among = lambda chars: sum(b in chars for b in raw)
+    capitals, small = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+    lines, runs = [x for x in raw.split(b"\n") if x], [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    again = lambda xs: np.sqrt(1 - len(set(xs)) / len(xs)) if xs else 0.0
+    share = lambda chars: np.sqrt(among(chars) / len(raw))
+    return [
+        np.log1p(len(w)), np.log(sum(map(len, w)) / len(w)), share(b"#*$%&<>^~@\\"), np.sqrt(among(capitals) / max(1, among(capitals + small))), share(b"!?"), share(b"|"), share(b"0123456789"), share(b".,;:"),
+        np.log1p(len(w) / len(lines)), again(runs), again(lines), len(set(w)) / len(w), np.sqrt(np.mean([a == b for a, b in zip(w, w[1:], strict=False)])) if len(w) > 1 else 0.0,
+    ]
+
+
+def test_quality_scores_against_a_plain_refit(spark):
+    """Scores are a logistic of the log-density difference of two shrunk Gaussians, with the slope and shift of least loss."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r["doc_id"]: r["score"] for r in QC.op1_quadratic_discriminant(spark, sf).collect()}
+    x = np.array([plain_statistics(r["text"]) for r in rows])
+    learnt = np.array([labels.get(r["doc_id"]) in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0 for r in rows])
+    y = np.array([labels.get(r["doc_id"]) or 0 for r in rows])
+    centre, spread = x[learnt].mean(axis=0), np.sqrt(np.maximum(x[learnt].var(axis=0), 1e-6))
+    z = (x - centre) / spread
+    parts = [z[learnt & (y == k)] for k in (0, 1)]
+    covs = [np.cov(p.T, bias=True) for p in parts]
+    pooled = sum(len(p) * c for p, c in zip(parts, covs, strict=True)) / learnt.sum()
+    density = []
+    for p, c in zip(parts, covs, strict=True):
+        c = 0.95 * c + 0.05 * pooled
+        c = 0.999 * c + 0.001 * (np.trace(c) / len(c) + 1e-3) * np.eye(len(c))
+        apart = np.clip(z, -12, 12) - p.mean(axis=0)
+        density.append(np.log(len(p) / learnt.sum()) - np.linalg.slogdet(c)[1] / 2 - (apart * np.linalg.solve(c, apart.T).T).sum(axis=1) / 2)
+    v = density[1] - density[0]
+    v = v / (1 + np.abs(v) / 20)
+    score = np.array([got[r["doc_id"]] for r in rows])
+    inner = (score > 1e-6) & (score < 1 - 1e-6)
+    slope, shift = np.polyfit(v[inner], np.log(score[inner] / (1 - score[inner])), 1)
+    assert slope > 0 and np.abs(1 / (1 + np.exp(-(slope * v + shift))) - score).max() < 1e-4
+    scale = v[learnt].std()
+    loss = lambda a, b: np.mean(np.logaddexp(0, a * v[learnt] + b) - (0.98 * y[learnt] + 0.01) * (a * v[learnt] + b)) + 5e-5 * ((a * scale) ** 2 + b**2)
+    least = loss(slope, shift)
+    assert all(loss(slope * (1 + a), shift + b) > least - 1e-9 for a in (-0.1, 0, 0.1) for b in (-0.1, 0, 0.1))

@@ -580,6 +580,23 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == left <= ids
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    """Null ids, null and empty texts, rows that repeat and columns of the stages' own names: no stage changes a row or loses a clean one."""
+    plain = docs.select("doc_id", "text", "lang", "source")
+    odd = spark.createDataFrame([(None, None, "en", None), (None, "", None, "src0"), (None, "a few words without an id", "en", "src1"), (7000, None, "en", "src0"), (7000, None, "en", "src0"), (7001, "", None, None)], "doc_id long, text string, lang string, source string")
+    d = plain.unionByName(odd).select("*", F.lit("own").alias("__row_id"), F.col("doc_id").alias("__id"), F.col("text").alias("__at"), F.lit(1).alias("slot"))
+    every, strange = Counter(map(tuple, d.collect())), Counter(r for r in map(tuple, d.collect()) if not r[1] or r[0] is None)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, d, SF)
+        rows = Counter(map(tuple, got.collect()))
+        assert got.columns == d.columns and not rows - every, name
+        if name == "mixing":
+            assert rows == every
+        elif name != "quality":
+            assert not strange - rows, name
+        assert stage(spark, d.limit(0), SF).count() == 0, name
+
+
 def test_slots_of_shards_follow_the_mix(spark, docs, edges):
     named = docs.withColumn("source", F.when(F.col("doc_id") % 10 == 0, "rare").otherwise("usual"))
     slots = []

@@ -157,4 +157,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def op3_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of two-word shingles, its component at 0.8 and whether it is the one that stays."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

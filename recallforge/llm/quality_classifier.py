@@ -181,5 +181,6 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def op1_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score, learnt from the labels of documents whose crc32 of the id is not divisible by 5. Null and empty texts are scored too."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return classify(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))

@@ -166,5 +166,6 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the base counts and the verdict of the learnt list; null and empty texts have no words and fail."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return judge(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))

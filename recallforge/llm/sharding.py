@@ -88,4 +88,5 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of nearly equal bytes, equal texts together as far as the quotas allow."""
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

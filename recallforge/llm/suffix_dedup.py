@@ -285,4 +285,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
 
 def op5_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the bytes it loses to 200-byte strings that stand elsewhere too, and the digest of what is left."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept")

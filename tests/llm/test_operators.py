@@ -554,6 +554,39 @@ def test_more_sources_than_are_scheduled_on_their_own(spark):
     assert MX.mix_sources(d, {"s3": 2}, own=5, pools=3).count() == 4000
 
 
+def test_many_sources_and_weights_far_apart_keep_within_a_block(spark):
+    rng = random.Random(12)
+    blocks, w = [rng.randint(1, 4) for _ in range(600)], [rng.choice([1, 7, 10**6, 3 * 10**9 + 1]) for _ in range(600)]
+    order = [s for _, s, _ in slots_of(blocks, w)]
+    assert Counter(order) == Counter(dict(enumerate(blocks))) and worst_deviation(order, blocks, w) < 1
+    blocks, w = [5_000, 3, 2], [1_000_000, 1, 1]
+    order = [s for _, s, _ in slots_of(blocks, w)]
+    assert worst_deviation(order, blocks, w) < 1 and order.index(1) > 4_990  # a millionth is no ten-thousandth
+    rows = [(i, f"s{i % 600}") for i in range(6_000)] + [(6_000 + i, None) for i in range(2_000)]
+    d = spark.createDataFrame(rows, "doc_id long, source string")
+    given = {f"s{i}": 1 + (i % 3) * 10**6 for i in range(600)} | {None: 10**6}
+    got = MX.mix_sources(d, given, block_rows=4).toPandas()
+    assert sorted(got.doc_id) == list(range(8_000))
+    by_slot = got.assign(source=got.source.where(got.source.notna(), "")).groupby("slot").source.agg(["first", "nunique"])
+    names = sorted({s or "" for _, s in rows})
+    blocks = [500 if n == "" else 3 for n in names]
+    assert list(by_slot.index) == list(range(sum(blocks))) and (by_slot["nunique"] == 1).all()
+    assert worst_deviation([names.index(s) for s in by_slot["first"]], blocks, [given[n or None] for n in names]) < 1
+
+
+def test_blocks_grow_where_a_schedule_would_be_long():
+    assert MX.rows_a_block([10**10, 10**9], [3, 1], 16) == 16  # a short period
+    rows, w = [10**10, 10**9, 5], [10**9 + 7, 10**6 + 3, 1]
+    size = MX.rows_a_block(rows, w, 16)
+    blocks = [-(-r // size) for r in rows]
+    assert size > 16 and sum(blocks) <= MX.MAX_STEPS
+    assert MX.rows_a_block([100, 100], w[:2], 16) == 16 and MX.rows_a_block([], [], 16) == 16
+    small = MX.rows_a_block([3_000, 2_000, 700], w, 2, most=300)
+    blocks = [-(-r // small) for r in (3_000, 2_000, 700)]
+    assert sum(blocks) <= 300 and worst_deviation([s for _, s, _ in slots_of(blocks, w)], blocks, w) < 1
+    assert MX.tempered([10**8, 100, 1]) == [9_989, 10, 1]
+
+
 # pipeline
 def test_pipeline_stages(spark, docs, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "mixing", "sharding"]

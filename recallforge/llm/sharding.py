@@ -5,11 +5,14 @@ votes, by bytes, for the shards its documents are in, and documents move to the
 shard with most votes that still has room. Moves into a shard are admitted in an
 order that keeps a hub together, up to the shard's quota, so a hub larger than a
 shard fills one and goes on in the next. Unlinked documents then fill all shards
-up to the same number of bytes.
+up to the same number of bytes: those of a notable part of a shard one by one, the
+largest first, and the many small ones by their running sum.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +21,8 @@ from recallforge.llm._common import side, stash, with_rank
 
 #: Parts of an admission order: hubs by hash, then parts of a hub.
 LEVELS, PARTS = 512, 16
+#: Rows of over this part of a shard are placed one by one; there are no more than that many a shard.
+LARGE = 256
 
 
 def _pick(values: list[int], at: Column) -> Column:
@@ -46,11 +51,34 @@ def propagate(linked: DataFrame, quota: int, shards: int, rounds: int) -> DataFr
     return linked
 
 
+def level(loads: list[int], more: int) -> int:
+    """Least common height up to which ``more`` fills ``loads``; loads beyond it get nothing."""
+    under = 0
+    for n, load in enumerate(sorted(loads)):
+        if n and n * load >= under + more:
+            return -(-(under + more) // n)
+        under += load
+    return -(-(under + more) // len(loads))
+
+
+def largest_first(rows: list[tuple], sizes: list[int], loads: list[int]) -> list[tuple]:
+    """The rows with their shard, each into the one with the least load when it is its turn; ``loads`` are brought up to date."""
+    heap = [(load, s) for s, load in enumerate(loads)]
+    heapq.heapify(heap)
+    out = []
+    for size, row in sorted(zip(sizes, rows, strict=True), key=lambda x: -x[0]):
+        load, s = heap[0]
+        heapq.heapreplace(heap, (load + size, s))
+        loads[s] += size
+        out.append((*row, s))
+    return out
+
+
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, rounds: int = 4) -> DataFrame:
     """One row for each row of ``docs``: key, size, text_crc32, law, shard, slot, grown_shard.
 
     Law ``bytes``: the sums of ``size`` (UTF-8 bytes of the text, none for null, plus
-    8) of any two shards differ by little more than one document. Rows with equal
+    8) of any two shards differ by no more than a small part of a shard (``LARGE``) unless single documents are larger than a shard. Rows with equal
     texts are linked and share a shard as far as the quotas allow; null texts are
     linked with nothing, empty ones with each other. ``slot`` is gapless from 0 in
     each shard; ``grown_shard`` is null under this law. Rows that repeat and null
@@ -74,15 +102,21 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     stay = placed.where(keep).select("id", "size", "crc", "shard")
     load = {r["shard"]: r["load"] for r in stay.groupBy("shard").agg(F.sum("size").alias("load")).collect()}
     single = base.join(groups, ["hub", "other", "size"], "left_anti").select("id", "size", "crc")
-    loose = single.unionByName(placed.where(~keep).select("id", "size", "crc"))
+    loose = stash(single.unionByName(placed.where(~keep).select("id", "size", "crc")), "loose")
+    loads = [load.get(s, 0) for s in range(shards)]
+    large = F.col("size") * LARGE > quota
+    rows = loose.where(large).orderBy("id", "crc").collect()  # at most shards * LARGE, as their sizes add up to no more than the total
+    kind = ", ".join(f"{c} {t}" for c, t in loose.dtypes)
+    heavy = docs.sparkSession.createDataFrame(largest_first([tuple(r) for r in rows], [r["size"] for r in rows], loads), f"{kind}, shard int")
+    height = level(loads, loose.where(~large).agg(F.sum("size")).first()[0] or 0)
     ends, at = [], 0
     for s in range(shards):
-        at += max(0, quota - load.get(s, 0))
+        at += max(0, height - loads[s])
         ends.append(at)
-    filled = with_rank(loose, [], [F.col("id"), F.col("size"), F.col("crc")], "ahead", size="size")
+    filled = with_rank(loose.where(~large), [], [F.col("id"), F.col("size"), F.col("crc")], "ahead", size="size")
     middle = F.col("ahead") + F.col("size") / 2
     shard = sum((F.when(middle >= e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
-    every = stash(stay.unionByName(filled.select("id", "size", "crc", shard.cast("int").alias("shard"))), "shards")
+    every = stash(stay.unionByName(heavy).unionByName(filled.select("id", "size", "crc", shard.cast("int").alias("shard"))), "shards")
     out = with_rank(every, ["shard"], [F.col("id"), F.col("crc"), F.col("size")], "slot")
     return out.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

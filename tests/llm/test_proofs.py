@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -52,6 +53,27 @@ def test_a_stored_ledger_leaves_only_new_blobs_and_rules(spark, tmp_path):
     assert {(r["rule_version"], r["n"]) for r in other.groupBy("rule_version").agg(F.count(F.lit(1)).alias("n")).collect()} == {(SE.RULE_VERSION, len(known)), ("next", len(known))}
 
 
+def test_shards_of_long_and_short_texts_are_even(spark):
+    rng = random.Random(4)
+    texts = ["x" * rng.randint(1, 90) + str(i) for i in range(3_000)] + ["y" * rng.randint(20_000, 40_000) + str(i) for i in range(30)] + [None, "", ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = SH.shard_documents(d, shards=8).collect()
+    sums = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert len(rows) == len(texts) and max(sums) - min(sums) <= sum(sums) / 8 / 64
+    giant = spark.createDataFrame([(0, "z" * 50_000), *((i, "a" * 20 + str(i)) for i in range(1, 500))], "doc_id long, text string")
+    rows = SH.shard_documents(giant, shards=4).collect()
+    sums = sorted(sum(r["size"] for r in rows if r["shard"] == s) for s in range(4))
+    assert sums[3] == 50_008 and sums[2] - sums[0] <= 120 and sums[0] > 4_000  # what is left of the others is dealt evenly
+
+
+def test_level_and_largest_first():
+    for loads, more in (([5, 10], 3), ([5, 10], 10), ([0, 0, 7], 0), ([3, 3, 3], 4), ([9, 1, 1], 5)):
+        h = SH.level(loads, more)
+        assert sum(max(0, h - x) for x in loads) >= more > sum(max(0, h - 1 - x) for x in loads) or more == 0
+    loads = [4, 0, 0]
+    assert SH.largest_first([("a",), ("b",), ("c",)], [1, 6, 5], loads) == [("b", 1), ("c", 2), ("a", 0)] and loads == [5, 6, 5]
+
+
 def test_shards_cut_few_links_and_are_even(spark):
     """Of the links between copies far fewer are cut than by a random deal; sums differ by little more than the largest document."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 3 == 0, F.floor(F.col("id") / 60)).otherwise(F.col("id")).cast("string"), F.repeat(F.lit(" x"), (F.col("id") % 20).cast("int") * F.when(F.col("id") % 3 == 0, 0).otherwise(1))).alias("text"))

@@ -123,8 +123,9 @@ def decide(memories: DataFrame, open_port: Callable[[], ChatPort], least: float
     fields = {"TIME": F.col("source_time").cast("string"), "C": F.col("content")}
     if method == "dimension":
         fields |= {"TYPE": F.col("memory_type"), "WHEN": F.col("time"), "KEYWORDS": F.array_join("keywords", ", "), "REASON": F.col("reason"), "PURPOSE": F.col("purpose")}
-    of = lambda n: memories.select("bank", F.col("idx").alias(f"idx_{n}"), *[c.alias(f"{f}_{n}") for f, c in fields.items()])
-    both = pairs.select("bank", "idx_new", "idx_old").join(of("new"), ["bank", "idx_new"]).join(of("old"), ["bank", "idx_old"])
+    names = list(fields)
+    met = U.with_both(pairs.select("bank", F.col("idx_new").alias("i"), F.col("idx_old").alias("j")), memories, list(fields.values()))
+    both = met.select("bank", F.col("i").alias("idx_new"), F.col("j").alias("idx_old"), *[F.get(f"of_{s}", F.lit(at)).alias(f"{f}_{n}") for s, n in (("i", "new"), ("j", "old")) for at, f in enumerate(names)])
     parts = {"NEW": F.col("C_new"), "OLD": F.col("C_old")} | {f"{f}_{n.upper()}": F.col(f"{f}_{n}") for f in fields if f not in ("C", "TYPE") for n in ("new", "old")}
     if method == "dimension":
         parts["TYPE"] = F.col("TYPE_new")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -130,3 +131,46 @@ def test_set_join_with_a_keyword_of_all(spark, monkeypatch):
         want = {(i, j) for b, _, i, x in rows for c, _, j, y in rows if i < j and b == c and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= least}
         got = U.keyword_pairs(m, least, ("bank",)).collect()
         assert len(got) == len(want) and {(r["i"], r["j"]) for r in got} == want
+
+
+def test_set_join_settles_candidates_in_place(spark):
+    """A keyword of all makes 20 000 candidates; none is shuffled, and nulls are no keywords."""
+    rows = [("b", i, ["All", None, f"x{i}"]) for i in range(200)] + [("b", 200, ["all"]), ("b", 201, [None])]
+    m = spark.createDataFrame(rows, "bank string, idx long, keywords array<string>")
+    p = U.keyword_pairs(m, 0.3, ("bank",))
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Distinct" not in plan  # no candidates made distinct
+    assert p.count() == 201 * 200 // 2 and {round(r["jaccard"], 9) for r in p.select("jaccard").distinct().collect()} == {round(1 / 3, 9), 0.5}
+
+
+def test_contents_are_sent_once_a_cluster(spark, monkeypatch):
+    """Pairs of clusters, one dealt over several cells: cosine as counted by hand, and far fewer contents sent than pairs have ends."""
+    monkeypatch.setattr(U, "CELL", 500)
+    rng = random.Random(7)
+    texts = {i: None if i == 3 else " ".join(rng.choice(["a", "B", "c", "d é"]) for _ in range(rng.randint(0, 9))) for i in range(90)}
+    m = spark.createDataFrame([("b", i, t) for i, t in texts.items()], "bank string, idx long, content string")
+    pairs = [("b", i, j) for j in range(60) for i in range(j)] + [("b", i, i + 1) for i in range(60, 89)]
+    p = spark.createDataFrame(pairs, "bank string, i long, j long")
+    sent = U._cells(p, m.select("bank", "idx", F.array("content").alias("values")), U.CELL).where("j is null").count()
+    assert sent < len(pairs) / 4
+    count = lambda t: {w: t.lower().split().count(w) for w in t.lower().split() if w != "é"} if t else {}
+    size = lambda x: math.sqrt(sum(v * v for v in x.values()))
+    got = {(r["i"], r["j"]): r["similarity"] for r in U.count_cosine(m, p).collect()}
+    assert len(got) == len(pairs)
+    for (i, j), s in got.items():
+        x, y = count(texts[i]), count(texts[j])
+        d = sum(x[w] * y.get(w, 0) for w in x)
+        assert s == (d / (size(x) * size(y)) if d else 0.0)
+    both = {(r["i"], r["j"]): (r["of_i"], r["of_j"]) for r in U.with_both(p, m, [F.col("content"), F.col("idx")]).collect()}
+    assert both == {(i, j): ([texts[i], str(i)], [texts[j], str(j)]) for _, i, j in pairs}
+
+
+def test_a_cluster_takes_few_rounds(spark, monkeypatch):
+    """In a cluster all of whose pairs are merged a round settles two memories; the rest is streamed and not taken up in 40 rounds. Decisions are settled once a table."""
+    calls = []
+    monkeypatch.setattr(U, "forget", lambda *t: calls.append(t))
+    rows = [("b", o, j, i, "MERGE") for o, (j, i) in enumerate((j, i) for j in range(60) for i in range(j))]
+    d = spark.createDataFrame(rows, "bank string, ord long, idx_new long, idx_old long, decision string")
+    assert {(r["bank"], r["ord"]) for r in U.acting(d, 0, 40).collect()} == loop(rows)
+    assert len(calls) <= 2
+    assert U._fold(d) is U._fold(d)

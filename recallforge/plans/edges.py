@@ -23,15 +23,22 @@ def scratch(spark: SparkSession) -> str:
     return new_folder(spark)
 
 
+#: Ids whose documents share a memory file.
+IDS_A_FILE = 5_000
+
+
 def load_records(spark, d):
-    """Documents written as memory files and read back: banks ``de`` and ``en`` have a file of their own and a window that must not count, the others have windows only."""
+    """Documents written as memory files and read back: banks ``de`` and ``en`` have files of their own and a window that must not count, the others have windows only. A file holds the documents of ``IDS_A_FILE`` ids."""
     root = scratch(spark)
     docs = table(spark, d, "documents").withColumn("w", F.col("doc_id") % 3)
     entry = F.struct(F.col("doc_id").alias("order"), F.col("doc_id").cast("string").alias("source_id"), F.when(F.col("doc_id") % 5 != 0, F.lit("2024-02-03T04:05:06")).alias("source_time"), F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.col("w").cast("string")).alias("window_index"), F.struct(F.when(F.col("doc_id") % 4 == 0, F.lit("fact")).alias("memory_type"), F.col("source").alias("reason")).alias("dimension"))
-    sorted_list = lambda by: docs.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("memories"))
+    chunk = F.floor(F.col("doc_id") / IDS_A_FILE).alias("chunk")
+    sorted_list = lambda by: docs.groupBy(*by, chunk).agg(F.sort_array(F.collect_list(entry)).alias("memories"))
+    # Names of files follow the order of ranges, then of rows.
+    in_order = lambda df, by: df.repartitionByRange(64, *by, "chunk").sortWithinPartitions(*by, "chunk").drop("chunk").write.option("maxRecordsPerFile", 1)
     files = sorted_list(["lang", "w"]).withColumn("window", F.concat(F.lit("window_"), F.col("w").cast("string")))
-    files.drop("w").withColumnRenamed("lang", "bank").write.partitionBy("bank", "window").json(f"{root}/all")
-    sorted_list(["lang"]).where("lang in ('de', 'en')").withColumnRenamed("lang", "bank").write.mode("append").partitionBy("bank").json(f"{root}/all")
+    in_order(files.drop("w").withColumnRenamed("lang", "bank"), ["bank", "window"]).partitionBy("bank", "window").json(f"{root}/all")
+    in_order(sorted_list(["lang"]).where("lang in ('de', 'en')").withColumnRenamed("lang", "bank"), ["bank"]).mode("append").partitionBy("bank").json(f"{root}/all")
     got = J.read_memories(spark, f"{root}/all")
     return got.select(F.regexp_replace("bank", "^bank=", "").alias("bank"), "record_idx", F.regexp_replace("boundary_id", "^window=", "").alias("boundary_id"), F.md5("content").alias("content_md5"), "memory_type", "reason", F.col("source_time").isNotNull().alias("timed"), "source_id")
 

@@ -29,27 +29,26 @@ def read_conversations(spark: SparkSession, path: str, glob: str = "*.json") ->
 
 
 def read_memories(spark: SparkSession, path: str) -> DataFrame:
-    """Records of banks below ``path``, with bank (the folder), record_idx and boundary_id ``<window>_<index in its file>``.
+    """Records of banks below ``path``, with bank (the folder), record_idx and boundary_id ``<window>_<index in its folder's list>``.
 
     A bank's own file (all_memories.json, any *.json in the bank's folder) holds all of it; only banks without one are
     read from the files in their window folders, windows in the order of their names. Files hold ``{"memories": [...]}`` or
-    a bare list. The window is window_dir, else window_index, 0 included, else all_memories or the window folder.
+    a bare list, and several files of one folder are one list, in the order of their names, so that no file need be large: a file is a row. The window is window_dir, else window_index, 0 included, else all_memories or the window folder.
     """
     root = path.rstrip("/") + "/"
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     parts = F.split(F.substring_index(F.col("_metadata.file_path"), root, -1), "/")
-    files = text.select("value", F.size(parts).alias("depth"), F.get(parts, F.lit(0)).alias("bank"), F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("all_memories").alias("window")).where("depth in (2, 3)")
+    files = text.select("value", F.col("_metadata.file_path").alias("path"), F.size(parts).alias("depth"), F.get(parts, F.lit(0)).alias("bank"), F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("all_memories").alias("window")).where("depth in (2, 3)")
     least = files.groupBy("bank").agg(F.min("depth").alias("least"))
     chosen = files.join(least, "bank").where("depth = least")
     listed = F.when(F.trim("value").startswith("["), F.concat(F.lit('{"memories":'), F.col("value"), F.lit("}"))).otherwise(F.col("value"))
-    m = chosen.select("bank", "window", F.posexplode(F.from_json(listed, MEMORY_SCHEMA)["memories"]).alias("at", "m")).select("bank", "window", "at", "m.*")
+    m = chosen.select("bank", "window", "path", F.posexplode(F.from_json(listed, MEMORY_SCHEMA)["memories"]).alias("in_file", "m")).select("bank", "window", "path", "in_file", "m.*")
     d = F.col("dimension")
     window = F.coalesce(F.nullif(clean(F.col("window_dir")), F.lit("")), F.nullif(clean(F.col("window_index")), F.lit("")), F.col("window"))
-    sizes = m.groupBy("bank", "window").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("bank").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)  # a row a window
-    offsets = sizes.select("bank", "window", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))
-    place = Window.partitionBy("bank", "window").orderBy("at")
-    numbered = m.withColumn("in_window", F.row_number().over(place) - 1).join(offsets, ["bank", "window"]).withColumn("record_idx", (F.col("offset") + F.col("in_window")).cast("int"))
+    sizes = m.groupBy("bank", "window", "path").agg(F.count(F.lit(1)).alias("n"))
+    ahead = lambda *by: Window.partitionBy(*by).orderBy("window", "path").rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  # a row a file
+    offsets = sizes.select("bank", "window", "path", *[F.coalesce(F.sum("n").over(ahead(*by)), F.lit(0)).alias(c) for c, by in (("offset", ["bank"]), ("in_window", ["bank", "window"]))])
+    numbered = m.join(offsets, ["bank", "window", "path"]).withColumn("record_idx", (F.col("offset") + F.col("in_file")).cast("int")).withColumn("at", (F.col("in_window") + F.col("in_file")).cast("int"))
     return numbered.select(
         "bank", "record_idx", F.format_string("%s_%04d", window, F.col("at")).alias("boundary_id"), clean(F.col("content")).alias("content"), F.coalesce(F.nullif(clean_json(d["memory_type"]), F.lit("")), F.lit("other")).alias("memory_type"),
         *[clean_json(d[c]).alias(c) for c in ("time", "location", "reason", "purpose")], F.coalesce(d["keywords"], F.array().cast("array<string>")).alias("keywords"), F.try_to_timestamp("source_time").cast("timestamp_ntz").alias("source_time"), "source_id", "session_id",

@@ -17,6 +17,7 @@ from recallforge import report as report_cli
 from recallforge.operators import segment as G
 from recallforge.plans import jobs, prompts
 from recallforge.ports import EchoChat, HttpChat, chat, deal
+from recallforge.plans import edges
 from recallforge.sources import jsonio, memory_files
 from recallforge.sources.ledger import Ledger, config_hash
 from recallforge.sources.shared import numbered
@@ -180,3 +181,20 @@ def test_memories_of_files_of_several_lines(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "all_memories.json").write_text(json.dumps({"memories": [{"content": "x", "dimension": {"memory_type": "fact"}}, {"content": "y"}]}, indent=2))
     assert sorted((r["record_idx"], r["content"], r["memory_type"]) for r in jsonio.read_memories(spark, str(tmp_path)).collect()) == [(0, "x", "fact"), (1, "y", "other")]
+
+
+def test_files_of_a_folder_are_one_list(spark, tmp_path, monkeypatch):
+    """Several files of a bank or window are numbered on in the order of their names; the query writes no file of more than so many ids."""
+    for name, texts in (("part-1.json", ["c"]), ("part-0.json", ["a", "b"])):
+        for folder in ("own", "windows/window_2"):
+            (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+            (tmp_path / folder / name).write_text(json.dumps({"memories": [{"content": t} for t in texts]}))
+    got = sorted((r["bank"], r["record_idx"], r["boundary_id"], r["content"]) for r in jsonio.read_memories(spark, str(tmp_path)).collect())
+    assert got == [(b, i, f"{w}_000{i}", t) for b, w in (("own", "all_memories"), ("windows", "window_2")) for i, t in enumerate("abc")]
+    d = "/root/testdata/sf0.001"
+    want, folders = sorted(edges.load_records(spark, d).collect()), []
+    monkeypatch.setattr(edges, "IDS_A_FILE", 100)
+    monkeypatch.setattr(edges, "scratch", lambda s: folders.append(str(tmp_path / "run")) or folders[-1])
+    assert sorted(edges.load_records(spark, d).collect()) == want
+    sizes = [len(json.loads(f.read_text())["memories"]) for f in tmp_path.glob("run/**/*.json")]
+    assert len(sizes) > 20 and max(sizes) <= 100

@@ -11,8 +11,8 @@ While the same sources are left, windows repeat after a period of slots. Only on
 period and the slots around a source's end are made on the driver, and every row
 finds its slot by arithmetic in joins with the table of these. Weights are taken as
 they are, however far apart, and any number of sources up to ``MAX_SOURCES`` is
-scheduled: where that would be over ``MAX_STEPS`` slots on the driver, blocks get more
-rows until the whole run has no more blocks than that.
+scheduled. The size of blocks is the caller's and does not change with the table; a caller
+with very long periods may ask for as many rows a block as keep ``MAX_STEPS`` slots on the driver.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from recallforge.llm._common import bucket_count, side, stash, with_rank
 
 #: Sum of the default weights of up to 100 sources.
 MAX_PERIOD = 10_000
-#: Slots made on the driver, about, at most: they bound the table that is broadcast and the time it takes, at any number of rows.
+#: Slots made on the driver, about, at most, where ``rows_a_block`` chooses the size of blocks.
 MAX_STEPS = 500_000
 #: Sources scheduled on their own, and groups for those beyond.
 MAX_SOURCES, POOLS = 100_000, 100
@@ -186,12 +186,13 @@ def _tables(spark: SparkSession, names: list, kind: str, blocks: list[int], weig
     return side(stash(runs, "schedule"), 2 * MAX_STEPS), side(stash(offsets, "schedule"), 2 * MAX_STEPS)
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, int] | None = None, key: str = "doc_id", source: str = "source", block_rows: int = 16, power: float = 0.5, own: int = MAX_SOURCES, pools: int = POOLS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, int] | None = None, key: str = "doc_id", source: str = "source", block_rows: int | None = 16, power: float = 0.5, own: int = MAX_SOURCES, pools: int = POOLS) -> DataFrame:
     """``docs`` with the columns slot (of the row's block, gapless from 0), place (of the row in its block) and block (number within the source).
 
     Every row is kept. ``weights``: whole numbers by source, met exactly; sources not named have
     weight 0 and follow after the others in equal shares; by default weights go with
-    the row counts to the ``power``. Blocks have ``block_rows`` rows, or more where the schedule needs it (``rows_a_block``);
+    the row counts to the ``power``. Blocks have ``block_rows`` rows, however large the
+    table is; None leaves their size to ``rows_a_block``, for weights far apart or very many sources over very many rows;
     every source is within one block of its share at every slot. A null
     source is a source. Of more than ``own`` sources the largest are scheduled
     on their own and the others in ``pools`` groups by hash, each with the weight of
@@ -223,7 +224,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, int] | None = None, k
     names = [r[0] for r in counted]
     of = [None if "pool" in (one := json.loads(n)) else (one.get("source"),) for n in names] if pooled else [(n,) for n in names]
     given = tempered([r[2] for r in counted], 1.0) if weights is None else [weights.get(n[0], 0) if n else 0 for n in of]
-    block_rows = rows_a_block([r[1] for r in counted], given, block_rows)
+    if block_rows is None:
+        block_rows = rows_a_block([r[1] for r in counted], given, 16)
     pieces, cells = _tables(docs.sparkSession, names, dict(ranked.dtypes)[unit], [-(-r[1] // block_rows) for r in counted], given)
     ranked = ranked.withColumn("block", F.floor(F.col("__rank") / block_rows).cast("long"))
     met = ranked.join(pieces, F.col(unit).eqNullSafe(F.col("__of")) & (F.col("block") >= F.col("__first")) & (F.col("block") < F.col("__end")))

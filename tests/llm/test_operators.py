@@ -649,6 +649,15 @@ def test_slots_of_shards_follow_the_mix(spark, docs, edges):
     assert corpus_pipeline.sharding(spark, empty(spark), SF).count() == 0
 
 
+def test_blocks_do_not_grow_with_the_table(spark, monkeypatch):
+    d = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
+    want = sorted(MX.mix_sources(d).collect())
+    monkeypatch.setattr(MX, "MAX_STEPS", 10)
+    monkeypatch.setattr(MX.rows_a_block, "__defaults__", (10,))
+    assert sorted(MX.mix_sources(d).collect()) == want
+    assert MX.mix_sources(d, block_rows=None).agg(F.max("place")).first()[0] > 16
+
+
 def test_registry():
     names = list(registry.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names[:-1]] == list(range(1, 14)) and names[-1] == "pipeline"

@@ -7,7 +7,9 @@ it kept; ``run`` applies them to the table ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recallforge.llm._common import bucket_count, settle, side, stash, stashed, with_rank
 from recallforge.llm.decontaminate import decontaminate
@@ -66,16 +68,31 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix; texts are shuffled once, for the order."""
     mix = side(_mix(docs))
     placed = docs.join(mix, docs["doc_id"].eqNullSafe(mix["__id"]), "left")
-    return placed.orderBy(mix["__at"]["slot"], mix["__at"]["place"]).select(*[docs[c] for c in docs.columns])
+    out = placed.orderBy(mix["__at"]["slot"], mix["__at"]["place"]).select(*[docs[c] for c in docs.columns])
+    out._ordered = True  # not yet in files of this order
+    return out
+
+
+def _written(docs: DataFrame) -> DataFrame:
+    """(__id, __at): the place of a row in the files it was written to, by their names, then its row there; rows that repeat an id take the first one's. What is not read from files is taken in its order."""
+    at = [F.col("doc_id").alias("__id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        rows = (stash(docs.select("doc_id"), "order") if "_ordered" in docs.__dict__ else docs).select(*at)
+    except AnalysisException:  # no files
+        rows = stash(docs.select("doc_id"), "order").select(*at)
+    rows = stash(rows, "written")
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = rows.groupBy("file").agg(F.max("row").alias("n")).select("file", F.coalesce(F.sum(F.col("n") + 1).over(ahead), F.lit(0)).alias("ahead"))
+    placed = rows.join(F.broadcast(files), "file").select("__id", F.struct((F.col("ahead") + F.col("row")).alias("slot"), F.lit(0).alias("place")).alias("__at"))
+    return stash(placed.groupBy("__id").agg(F.min("__at").alias("__at")), "places")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of every document that is left, and its slot there in the order of the mix.
+    """The shard of every document that is left, and its slot there in the order in which the stage before wrote the documents, so of the mix.
 
-    Files keep no order of rows, so the place in the mix is found again from ids and
-    sources. Ranges of the mix are the buckets of the ranks.
+    Ranges of that order are the buckets of the ranks.
     """
-    mix = _mix(docs)
+    mix = _written(docs)
     top = mix.agg(F.max("__at.slot")).first()[0] or 0
     sharded = stash(shard_documents(docs.select("doc_id", "text")), "sharded")
     placed = sharded.join(side(mix), F.col("doc_id").eqNullSafe(F.col("__id")), "left")

@@ -649,6 +649,18 @@ def test_slots_of_shards_follow_the_mix(spark, docs, edges):
     assert corpus_pipeline.sharding(spark, empty(spark), SF).count() == 0
 
 
+def test_shards_follow_what_the_mixing_stage_wrote(spark, docs, tmp_path):
+    """The order of the files of the stage before decides the slots, so another mix gives others."""
+    base = docs.select("doc_id", "text", "lang", "source")
+    orders = []
+    for name, by in (("up", F.col("doc_id")), ("down", F.col("doc_id").desc())):
+        base.repartitionByRange(3, by).sortWithinPartitions(by).write.parquet(str(tmp_path / name))
+        got = corpus_pipeline.sharding(spark, spark.read.parquet(str(tmp_path / name)), SF).toPandas()
+        orders.append({s: list(g.sort_values("slot").doc_id) for s, g in got.groupby("shard")})
+    assert all(ids == sorted(ids) for ids in orders[0].values())
+    assert orders[1] == {s: ids[::-1] for s, ids in orders[0].items()}
+
+
 def test_blocks_do_not_grow_with_the_table(spark, monkeypatch):
     d = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
     want = sorted(MX.mix_sources(d).collect())

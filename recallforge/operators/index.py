@@ -1,6 +1,6 @@
 """Inverted index of a record table, stored once, and top-k search with block maxima.
 
-Records of a bank are dealt over shards of about ``SHARD`` rows, in which they stand in the order of
+Records of a bank are dealt over shards of up to ``SHARD`` rows, as tasks read them, in which they stand in the order of
 their lengths; a row of ``postings`` is a term in a shard. Its postings are cut into blocks of
 ``BLOCK`` neighbouring slots with the largest term count and the least length in each: whatever the
 parameters of the score, no record of a block scores more. Shards are searched in parallel. In a shard a query scores its most promising
@@ -9,26 +9,30 @@ blocks first and stops when no other block can reach its k-th best score.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from recallforge.functions.text import tokens
-from recallforge.sources.shared import side
+from recallforge.sources.shared import side, small_batches
 
 SHARD, BLOCK = 1_024, 2
+#: Tokens at which a shard is closed, so that long records make no large one.
+SHARD_TOKENS = 1_000_000
 #: Query terms up to which their weights go to the executors; beyond it ``search_index`` takes the queries in so many groups.
 MAX_TERMS = 2_000_000
 
 
 class Index(NamedTuple):
-    #: (bank, shard, slot, record_idx, dl, t): records with their tokens.
+    #: (bank, shard, slot, record_idx, dl).
     records: DataFrame
-    #: (bank, shard, term, blocks, tops, shortest, counts, slots, tfs).
+    #: (bank, shard, term, df, blocks, tops, shortest, counts, slots, tfs); df counts the records of the shard.
     postings: DataFrame
     #: (bank, term, df).
     frequency: DataFrame
@@ -36,26 +40,82 @@ class Index(NamedTuple):
     stats: DataFrame
 
 
+def _shard(own: pa.Table, number: int, block: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one shard: its records in one row without a term, then a row a term."""
+    lengths = pa.compute.list_value_length(own.column(2)).to_numpy()
+    dl = lengths.astype(np.int32)
+    order = np.lexsort((own.column(1).to_numpy(), dl))
+    slot_of = np.empty(len(order), np.int64)
+    slot_of[order] = np.arange(len(order))
+    ids, dl = own.column(1).take(pa.array(order)).combine_chunks(), dl[order]
+    words = pa.chunked_array([c.flatten() for c in own.column(2).chunks], pa.string()).combine_chunks().dictionary_encode()
+    found, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(slot_of, lengths), return_counts=True)
+    term, slot = np.divmod(found, len(dl))
+    # A block begins where the term or the number of the block changes, a term where the term changes.
+    first = np.flatnonzero(np.diff(term * (len(dl) // block + 1) + slot // block, prepend=-1))
+    terms = np.flatnonzero(np.diff(term, prepend=-1))
+    to = lambda cuts, n: pa.array(np.append(cuts, n), pa.int32())
+    many = lambda x, cuts: pa.ListArray.from_arrays(to(cuts, len(x)), pa.array(x.astype(np.int32)))
+    starts = np.searchsorted(first, terms)
+    tops, least = (f.reduceat(x, first) if len(first) else x[:0] for f, x in ((np.maximum, tf), (np.minimum, dl[slot])))
+    per_block = [many(x, starts) for x in (slot[first] // block, tops, least, np.diff(np.append(first, len(slot))))]
+    columns = [words.dictionary, pa.array(np.diff(np.append(terms, len(slot))), pa.int32()), *per_block, many(slot, terms), many(tf, terms)]
+    for none in (True, False):
+        n = 1 if none else len(terms)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(dl)], pa.int32()), x) for x in (ids, pa.array(dl))] if none else [pa.nulls(n, pa.list_(ids.type)), pa.nulls(n, pa.list_(pa.int32()))]
+        bank = own.column(0).take(pa.array(np.zeros(n, np.int64))).combine_chunks()
+        yield pa.RecordBatch.from_arrays([bank, pa.array(np.full(n, number)), *([pa.nulls(1, c.type) for c in columns] if none else columns), *lists], names=_SHARD_COLUMNS)
+
+
+_SHARD_COLUMNS = ["bank", "shard", "term", "df", "blocks", "tops", "shortest", "counts", "slots", "tfs", "ids", "dls"]
+
+
+def _deal(shard: int, block: int):
+    """Shards of the records (bank, record_idx, t) of a task: in each bank up to ``shard`` records, or fewer that have ``SHARD_TOKENS`` tokens."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        open_: dict = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for bank in rows.column(0).unique():
+                part = rows.filter(pa.compute.equal(rows.column(0), bank))
+                while part.num_rows:
+                    held, n, size = open_.pop(bank.as_py(), ([], 0, 0))
+                    total = size + np.cumsum(pa.compute.list_value_length(part.column(2)).to_numpy().astype(np.int64))
+                    take = min(shard - n, 1 + int(np.searchsorted(total, SHARD_TOKENS)), part.num_rows)
+                    held, n, size, part = [*held, part.slice(0, take)], n + take, int(total[take - 1]), part.slice(take)
+                    if n >= shard or size >= SHARD_TOKENS:
+                        yield from _shard(pa.concat_tables(held), number, block)
+                        number += 1
+                    else:
+                        open_[bank.as_py()] = held, n, size
+        for held, *_ in open_.values():
+            yield from _shard(pa.concat_tables(held), number, block)
+            number += 1
+
+    return run
+
+
 def build_index(records: DataFrame, text: Column, path: str, shard: int = SHARD, block: int = BLOCK) -> None:
-    """Store the index of ``text`` over ``records`` (bank, record_idx, ...) below ``path``: one shuffle of tokens, no group larger than a shard."""
+    """Store the index of ``text`` over ``records`` (bank, record_idx, ...) below ``path``. Tasks make shards of the records that they read, so neither texts nor tokens are shuffled or sorted by Spark; a task holds one shard a bank."""
     spark = records.sparkSession
-    sizes = side(records.groupBy("bank").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards")))
-    dealt = records.select("bank", "record_idx", tokens(text).alias("t")).join(sizes, "bank").select("bank", F.pmod(F.xxhash64("record_idx"), "shards").cast("int").alias("shard"), "record_idx", F.size("t").alias("dl"), "t")
-    by_length = Window.partitionBy("bank", "shard").orderBy("dl", "record_idx")
-    dealt.select("bank", "shard", (F.row_number().over(by_length) - 1).alias("slot"), "record_idx", "dl", "t").write.parquet(f"{path}/records")
-    r = spark.read.parquet(f"{path}/records")
-    # All groups below lie within a shard, so this is their only shuffle.
-    tf = r.select("bank", "shard", "slot", "dl", "t").repartition("bank", "shard").select("bank", "shard", "slot", "dl", F.explode("t").alias("term")).groupBy("bank", "shard", "term", "slot", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    blocks = tf.groupBy("bank", "shard", "term", F.floor(F.col("slot") / block).cast("int").alias("block")).agg(F.max("tf").alias("top"), F.min("dl").alias("least"), F.sort_array(F.collect_list(F.struct("slot", "tf"))).alias("e"))
-    rows = blocks.groupBy("bank", "shard", "term").agg(F.sort_array(F.collect_list(F.struct("block", "top", "least", "e"))).alias("b"))
-    e = F.flatten(F.col("b.e"))
-    rows.select("bank", "shard", "term", F.col("b.block").alias("blocks"), F.col("b.top").alias("tops"), F.col("b.least").alias("shortest"), F.transform("b", lambda x: F.size(x["e"])).alias("counts"), e["slot"].alias("slots"), e["tf"].alias("tfs")).sortWithinPartitions("bank", "term").write.parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("bank", "term").agg(F.sum(F.size("slots")).alias("df")).write.parquet(f"{path}/frequency")
-    r.groupBy("bank").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")
+    small_batches(spark)
+    own = records.where("bank is not null").select("bank", "record_idx", tokens(text).alias("t"))
+    own = own.coalesce(1 + records.count() // (2 * shard))  # some full shards a task
+    kind = dict(own.dtypes)
+    lists = "blocks array<int>, tops array<int>, shortest array<int>, counts array<int>, slots array<int>, tfs array<int>"
+    own.mapInArrow(_deal(shard, block), f"bank {kind['bank']}, shard long, term string, df int, {lists}, ids array<{kind['record_idx']}>, dls array<int>").write.parquet(f"{path}/shards")
+    x = spark.read.parquet(f"{path}/shards")
+    x.where("term is not null").groupBy("bank", "term").agg(F.sum("df").alias("df")).write.parquet(f"{path}/frequency")
+    lengths = x.where("term is null").select("bank", F.explode("dls").alias("dl"))
+    lengths.groupBy("bank").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{n}") for n in Index._fields])
+    read = lambda n: spark.read.parquet(f"{path}/{n}")
+    records = read("shards").where("term is null").select("bank", "shard", F.posexplode(F.arrays_zip("ids", "dls")).alias("slot", "r")).select("bank", "shard", "slot", F.col("r.ids").alias("record_idx"), F.col("r.dls").alias("dl"))
+    return Index(records, read("shards").where("term is not null").drop("ids", "dls"), read("frequency"), read("stats"))
 
 
 def tf_rows(index: Index, wanted: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallforge.sources.shared import small_batches
+
 #: Characters of phrases in one automaton (some 50 bytes of nodes each); more phrases are dealt over several, each of which passes over the texts.
 MAX_CHARACTERS = 2_000_000
 
@@ -49,6 +51,7 @@ def find_items(records: DataFrame, items: DataFrame, most: int = MAX_CHARACTERS)
     items, counted, make one broadcast; more are dealt by hash into so many groups, each with a pass of its own. No text meets a phrase in a join.
     """
     spark = records.sparkSession
+    small_batches(spark)
     total = items.agg(F.sum(F.length("item") + 1)).first()[0] or 0
     groups = 1 + total // most
     texts, found = records.select(F.col("bank").cast("string").alias("bank"), F.col("record_idx").cast("long").alias("record_idx"), "full"), None

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallforge.functions.text import normalize_content, token_set
 from recallforge.operators import retrieve as R
 from recallforge.plans.fixtures import SQL_MEM, SQL_MESSAGES, SQL_Q, SQL_TC, SQL_VECTORS, TC_MEETS, anchor_vectors, bank, bank_index, queries, text_vectors, vector_queries, vectors
+from recallforge.sources.shared import side, stash
 
 K = 15
 
@@ -162,12 +166,16 @@ TC_MATCH = f"with {SQL_MEM}, {SQL_Q}, {SQL_TC} select query_id, bank, record_idx
 TC_FILTER = f"with {SQL_MEM}, {SQL_Q}, {SQL_TC} select query_id, bank, count(*) as n, min(record_idx) as first, max(record_idx) as last from mem join tc using (bank) where {TC_MEETS} group by 1, 2"
 
 
-def _routes(spark, d, asked=None):
-    """Ranked lists of three routes with their contents, for the queries ``asked`` (default all)."""
+def _routes(spark, d, asked=None, names=("bm25", "structured", "dense")):
+    """Ranked lists of the routes ``names`` with their contents, for the queries ``asked`` (default all). The lists are stored and meet the records where these lie: contents are not shuffled."""
     m, q = bank(spark, d), queries(spark, d) if asked is None else asked
-    lists = [("bm25", R.search_bm25(m, q, K, index=bank_index(spark, d))), ("structured", R.search_structured(m, q, K)), ("dense", R.search_dense(text_vectors(spark, d), anchor_vectors(spark, d, q), K))]
-    rows = [x.select("query_id", "bank", F.lit(n).alias("route"), "rank", _r(), "record_idx") for n, x in lists]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).join(m.select("bank", "record_idx", "content"), ["bank", "record_idx"])
+    search = {
+        "bm25": lambda: R.search_bm25(m, q, K, index=bank_index(spark, d)), "structured": lambda: R.search_structured(m, q, K),
+        "dense": lambda: R.search_dense(text_vectors(spark, d), anchor_vectors(spark, d, q), K),
+    }
+    rows = [search[n]().select("query_id", "bank", F.lit(n).alias("route"), "rank", _r(), "record_idx") for n in names]
+    lists = stash(reduce(DataFrame.unionByName, rows), "lists")
+    return m.select("bank", "record_idx", "content").join(side(lists), ["bank", "record_idx"])
 
 
 _ROUTES = f"""{_SCORES}, {_BM_ALL}, {_STRUCT}, {SQL_VECTORS},
@@ -200,7 +208,7 @@ def merge_three_routes(spark, d):
 
 
 def merge_two_routes(spark, d):
-    return _fused_columns(R.fuse(_routes(spark, d), ["dense", "bm25"], normalize_content(F.col("content")), 0, True))
+    return _fused_columns(R.fuse(_routes(spark, d, names=("bm25", "dense")), ["dense", "bm25"], normalize_content(F.col("content")), 0, True))
 
 
 _NORM = "trim(regexp_replace(lower(content), '\\s+', ' ', 'g'))"
@@ -233,7 +241,8 @@ union all select * from (with {SQL_MEM}, {SQL_Q}, {_ROUTES} select query_id, ban
 
 def format_memories(spark, d):
     m = bank(spark, d).select("bank", "record_idx", "content", "reason", "purpose", F.date_format("source_time", "yyyy-MM-dd'T'HH:mm:ss").alias("source_time"))
-    top = R.search_bm25(bank(spark, d), queries(spark, d), 5, index=bank_index(spark, d)).select("query_id", "bank", "record_idx", "rank").join(m, ["bank", "record_idx"])
+    lists = stash(R.search_bm25(bank(spark, d), queries(spark, d), 5, index=bank_index(spark, d)).select("query_id", "bank", "record_idx", "rank"), "lists")
+    top = m.join(side(lists), ["bank", "record_idx"])
     every = queries(spark, d).select("query_id", "bank").join(top, ["query_id", "bank"], "left")
     return R.format_memories(every, ["query_id", "bank"]).select("query_id", "bank", F.md5("memories").alias("memories_md5"))
 

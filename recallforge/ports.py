@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType, StructType
 
+from recallforge.sources.shared import small_batches
+
 
 class ChatPort(Protocol):
     def __call__(self, prompt: str) -> str: ...
@@ -115,6 +117,7 @@ def embed(rows: DataFrame, open_port: Callable[[], EmbedPort], text: str = "text
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
             yield f.assign(embedding=list(v))
 
+    small_batches(rows.sparkSession)
     return rows.mapInPandas(run, schema)
 
 

@@ -63,6 +63,11 @@ def side(df: DataFrame, limit: int = MAX_SIDE) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of one Arrow batch, so that a Python worker's memory depends neither on the length of texts nor on the rows of a partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+
+
 def numbered(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
     """``df`` with the place (from 1) of each row among those of its ``key``, in ``order``, without sorting a key in one task: rows are sorted over ranges, and what lies in earlier ranges is added."""
     dealt = stash(df.repartitionByRange(*key, *order).withColumn("__part", F.spark_partition_id()), "numbered")

@@ -38,6 +38,21 @@ def test_index_gives_the_best_of_a_plain_scan(spark):
     assert tf == {(b, i, t, re.findall("[a-z0-9]+", c).count(t), len(re.findall("[a-z0-9]+", c))) for b, i, c, *_ in rows for t in set(re.findall("[a-z0-9]+", c))}
 
 
+def test_index_is_built_without_a_shuffle_of_tokens(spark, monkeypatch):
+    """Shards are closed by records and by tokens; what the build shuffles is a count a term and task, not the postings of a record."""
+    monkeypatch.setattr(I, "SHARD_TOKENS", 60)
+    rows = [(b, i, "w " * (i % 9) + f"v{i % 3}", "", "", []) for b in ("x", "y") for i in range(300)] + [("x", 300, "long " * 500, "", "", [])]
+    m = spark.createDataFrame(rows, MEM).repartition(3)
+    path = new_folder(spark)
+    I.build_index(m, R.record_text(), path, shard=20, block=2)
+    x = I.open_index(spark, path)
+    per = x.records.groupBy("bank", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("size"), F.max("dl").alias("most")).collect()
+    assert sum(p["n"] for p in per) == 601 and len({(p["bank"], p["shard"]) for p in per}) == len({p["shard"] for p in per})
+    assert all(p["n"] <= 20 and p["size"] - p["most"] < 60 for p in per)
+    assert "Exchange" not in x.postings._jdf.queryExecution().executedPlan().toString()
+    assert spark.read.parquet(f"{path}/shards").inputFiles().__len__() == 3  # a file a task that read records: no stage between
+
+
 def test_index_scores_few_records_where_bounds_tell(spark):
     """Three records hold the rare word often; blocks of the others cannot reach the list."""
     rows = [("x", i, "common " * (1 + i % 3) + "filler " * (i % 17), "", "", []) for i in range(600)] + [("x", 600 + i, "rare rare common", "", "", []) for i in range(3)]

@@ -57,7 +57,7 @@ BM_TOPK = f"with {SQL_MEM}, {SQL_Q}, {_SCORES}, {_BM_ALL} select query_id, bank,
 
 
 def cosine_similarity(spark, d):
-    return R.per_bank(vectors(spark, d), vector_queries(spark, d)).select("query_id", "record_idx", F.round(R.cosine(F.col("vector"), F.col("embedding")), 9).alias("similarity"))
+    return R.cosines(vectors(spark, d), vector_queries(spark, d)).select("query_id", "record_idx", _r("similarity"))
 
 
 _V = "v as (select label::varchar as bank, vec_id as record_idx, embedding::double[] as e from embeddings)"

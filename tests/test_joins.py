@@ -13,7 +13,7 @@ from recallforge.operators import index as I
 from recallforge.operators import retrieve as R
 from recallforge.operators import tiles as T
 from recallforge.operators import upkeep as U
-from recallforge.operators.phrases import find_items
+from recallforge.operators.phrases import count_items, find_items
 from recallforge.sources.shared import new_folder
 
 MEM = "bank string, record_idx long, content string, reason string, purpose string, keywords array<string>"
@@ -189,3 +189,59 @@ def test_a_cluster_takes_few_rounds(spark, monkeypatch):
     assert {(r["bank"], r["ord"]) for r in U.acting(d, 0, 40).collect()} == loop(rows)
     assert len(calls) <= 2
     assert U._fold(d) is U._fold(d)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_are_counted_by_query_where_records_lie(spark):
+    """Items of several parts and queries, some of them twice; one group of queries and several; nothing is shuffled."""
+    rng = random.Random(5)
+    letters = "ab c"
+    texts = [(b, i, "".join(rng.choices(letters, k=rng.randint(0, 20)))) for b in ("x", "y") for i in range(30)] + [("x", 99, None), ("none", 1, "ab")]
+    asked = [(b, q, p, "".join(rng.choices("ab", k=rng.randint(1, 2))), w) for b in ("x", "y", "absent") for q in range(6) for p, w in (("phrase", False), ("token", True), ("anchor", True)) for _ in range(2)]
+    r, a = spark.createDataFrame(texts, "bank string, record_idx long, full string"), spark.createDataFrame(asked, "bank string, query_id long, part string, item string, word boolean")
+    want: dict = {}
+    for b, q, p, x, w in asked:
+        for bi, i, t in texts:
+            if b == bi and t is not None and (x in re.findall("[a-z0-9]+", t) if w else x in t):
+                want.setdefault((q, b, i), {}).setdefault(p, 0)
+                want[q, b, i][p] += 1
+    parts = ["phrase", "token", "anchor"]
+    for most in (10**6, 20):
+        got = count_items(r, a, parts, most)
+        assert "Aggregate" not in _plan(got) and "Join" not in _plan(got)
+        assert sorted(tuple(x) for x in got.collect()) == sorted((*k, *[n.get(p, 0) for p in parts]) for k, n in want.items())
+
+
+def test_cosines_are_those_of_the_column_function(spark):
+    rng = random.Random(6)
+    rows = [(b, i, None if i == 3 else [0.0] * 4 if i == 4 else [rng.uniform(-1, 1) for _ in range(4)]) for b in ("x", "y") for i in range(20)]
+    v = spark.createDataFrame(rows, "bank string, record_idx long, embedding array<float>")
+    q = v.where("record_idx < 7").select(F.col("record_idx").alias("query_id"), "bank", F.col("embedding").alias("vector"))
+    rounded = lambda x: sorted(((r[0], r[1], None if r[2] is None else round(r[2], 9)) for r in x.collect()), key=str)
+    want = rounded(R.per_bank(v, q).select("query_id", "record_idx", R.cosine(F.col("vector"), F.col("embedding"))))
+    for most in (10**6, 12):
+        got = R.cosines(v, q, most)
+        assert "zip_with" not in _plan(got) and rounded(got) == want
+
+
+def test_texts_and_times_are_read_once_a_record_not_once_a_query(spark):
+    """Joins with all queries start from stored columns, so no expression over a text or a time is left for them to repeat."""
+    rows = [("x", i, "word " * (i % 5), "why", "", "", "", "fact", ["word"], None) for i in range(20)]
+    m = spark.createDataFrame(rows, "bank string, record_idx long, content string, reason string, purpose string, location string, time string, memory_type string, keywords array<string>, source_time timestamp_ntz")
+    q = spark.createDataFrame([(i, "x", "word two", ["word"], "on 2024-01-05", ["fact"], "") for i in range(4)], "query_id long, bank string, anchor string, keywords array<string>, time string, types array<string>, location string")
+    for got, n in ((R.answer_field_score(m, q.select("query_id", "bank", F.lit("content").alias("answer_field"))), 80), (R.time_matches(m, q), 80), (R.structured_scores(m, q), 80)):
+        assert not re.search(r"\b(content|source_time)#", _plan(got)) and got.count() == n
+    assert R.lexical_scores(m, q).count() == 80
+    assert "Join" not in _plan(R.bm25_scores(m, q)) and R.bm25_scores(m, q).count() == 64
+
+
+def test_bm25_scores_of_several_groups_of_queries(spark, monkeypatch):
+    rows = [("x", i, f"a{i % 4} b{i % 3} " * (1 + i % 2), "", "", []) for i in range(30)]
+    m, q = spark.createDataFrame(rows, MEM), spark.createDataFrame([(i, "x", f"a{i % 4} b{i % 3}", []) for i in range(8)], "query_id long, bank string, anchor string, keywords array<string>")
+    one = sorted((r["query_id"], r["record_idx"], round(r["score"], 9)) for r in R.bm25_scores(m, q).collect())
+    monkeypatch.setattr(R, "MAX_TERMS", 4)
+    monkeypatch.setattr(R, "MAX_SCORES", 20)
+    assert sorted((r["query_id"], r["record_idx"], round(r["score"], 9)) for r in R.bm25_scores(m, q).collect()) == one and one

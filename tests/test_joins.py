@@ -235,7 +235,7 @@ def test_texts_and_times_are_read_once_a_record_not_once_a_query(spark):
     for got, n in ((R.answer_field_score(m, q.select("query_id", "bank", F.lit("content").alias("answer_field"))), 80), (R.time_matches(m, q), 80), (R.structured_scores(m, q), 80)):
         assert not re.search(r"\b(content|source_time)#", _plan(got)) and got.count() == n
     assert R.lexical_scores(m, q).count() == 80
-    assert "Join" not in _plan(R.bm25_scores(m, q)) and R.bm25_scores(m, q).count() == 64
+    assert "Join" not in _plan(R.bm25_scores(m, q)) and R.bm25_scores(m, q).count() == 80
 
 
 def test_bm25_scores_of_several_groups_of_queries(spark, monkeypatch):

@@ -84,17 +84,27 @@ def paragraphs(w: Words, shingle: int, least: int, bands: int, rows: int):
 
 
 def blocks(w: Words, block: int, spread: int, anchor: int):
-    """(text, start, end, hash) of the blocks of a slice."""
+    """(text, start, end, hash, places) of the blocks of a slice; equal blocks that overlap, as in text that repeats itself, are one run from the first start to the last end."""
     grams = K.grams(w.sums, anchor)
     n = len(w.starts) - (spread + anchor - 1) + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(K.U64)
+        return none, none, none, none.view(K.U64), none
     inside = w.text[:n] == w.text[spread + anchor - 2 :]
     lo = np.unique(K.sliding_argmin(grams, spread)[inside])
     lo = lo[lo + block <= w.bounds[w.text[lo] + 1]]
+    whole = w.hashes(lo, lo + block)
+    order = np.lexsort((lo, whole, w.text[lo]))
+    at, same = lo[order], whole[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (w.text[at[1:]] != w.text[at[:-1]]) | (same[1:] != same[:-1]) | (at[1:] >= at[:-1] + block)
+    first = np.flatnonzero(new)
+    places = np.diff(np.append(first, len(at)))
+    by_place = np.argsort(at[first])
+    first, places = first[by_place], places[by_place]
+    lo, last = at[first], at[first + places - 1]
     text = w.text[lo]
-    return text, w.starts[lo] - w.offsets[text], w.stops[lo + block - 1] - w.offsets[text], w.hashes(lo, lo + block)
+    return text, w.starts[lo] - w.offsets[text], w.stops[last + block - 1] - w.offsets[text], same[first], places
 
 
 def _list(values: np.ndarray, bounds: np.ndarray, kind) -> pa.Array:
@@ -109,7 +119,7 @@ def _scan(shingle, least, bands, rows, block, spread, anchor):
             for first, _, data, offsets in K.slices(batch.column(1), 1 << 19):
                 w = Words(data, offsets)
                 text, start, end, whole, distinct, marks, keys = paragraphs(w, shingle, least, bands, rows)
-                of, b_start, b_end, b_hash = blocks(w, block, spread, anchor)
+                of, b_start, b_end, b_hash, b_n = blocks(w, block, spread, anchor)
                 owners, places = np.unique(of, return_index=True)
                 p, q = len(text), len(owners)
                 none = pa.nulls
@@ -119,8 +129,8 @@ def _scan(shingle, least, bands, rows, block, spread, anchor):
                 flat = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), none(q, pa.int64())])  # noqa: E731, B023
                 many = lambda x, kind: pa.concat_arrays([none(p, pa.list_(kind)), _list(x, part, kind)])  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(2).take(at), flat(start), flat(end), flat(whole.view(np.int64)), flat(distinct), wide(marks), wide(keys), many(b_hash.view(np.int64), pa.int64()), many(b_start, pa.int64()), many(b_end, pa.int64())],
-                    names=["id", "dk", "lo", "hi", "node", "n", "marks", "bands", "b_hash", "b_lo", "b_hi"],
+                    [batch.column(0).take(at), batch.column(2).take(at), flat(start), flat(end), flat(whole.view(np.int64)), flat(distinct), wide(marks), wide(keys), many(b_hash.view(np.int64), pa.int64()), many(b_start, pa.int64()), many(b_end, pa.int64()), many(b_n, pa.int64())],
+                    names=["id", "dk", "lo", "hi", "node", "n", "marks", "bands", "b_hash", "b_lo", "b_hi", "b_n"],
                 )
 
     return run
@@ -169,9 +179,10 @@ def _united(spans: Column) -> Column:
 
 
 def _passages(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(dk, lo, hi, line, lost) of the blocks that stand in several rows, and what was stored for it.
+    """(dk, lo, hi, n, line, lost) of the blocks that stand in several rows, and what was stored for it.
 
-    All blocks are shuffled once, by hash, and counted and joined where they are.
+    A row has one entry for a run of equal blocks that overlap, so its entries of one
+    hash are bounded by its words over those of a block, however it repeats itself. All blocks are shuffled once, by hash, and counted and joined where they are.
     Blocks of many rows are told in a sample of the rows (one of ``SAMPLE``, a hot
     block is in ``HOT`` of these and in a row of ``RARE`` at least); these are counted before a shuffle and
     not dealt out, so that no task has all rows of one. Which blocks are in the sample
@@ -180,8 +191,8 @@ def _passages(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     some = found.where("b_hash is not null")
     sample = some.where(F.pmod(F.xxhash64("dk", F.lit(7)), F.lit(SAMPLE)) == 0)
     least = max(HOT, sample.count() // RARE)
-    hot = stash(sample.select(F.explode("b_hash").alias("hash")).groupBy("hash").count().where(F.col("count") >= least).select("hash"), "hot")
-    every = some.select("id", "dk", F.explode(F.arrays_zip("b_hash", "b_lo", "b_hi")).alias("b")).select("id", "dk", F.col("b.b_hash").alias("hash"), F.col("b.b_lo").alias("lo"), F.col("b.b_hi").alias("hi"))
+    hot = stash(sample.select(F.explode(F.array_distinct("b_hash")).alias("hash")).groupBy("hash").count().where(F.col("count") >= least).select("hash"), "hot")
+    every = some.select("id", "dk", F.explode(F.arrays_zip("b_hash", "b_lo", "b_hi", "b_n")).alias("b")).select("id", "dk", F.col("b.b_hash").alias("hash"), F.col("b.b_lo").alias("lo"), F.col("b.b_hi").alias("hi"), F.col("b.b_n").alias("n"))
 
     def kept(blocks: DataFrame) -> DataFrame:
         first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "dk"))
@@ -192,7 +203,7 @@ def _passages(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     often = every.join(few, "hash", "left_semi")
     known = stash(kept(often), "often")
     hits = dealt.join(kept(dealt), "hash").unionByName(often.join(side(known), "hash"))
-    return hits.select("dk", "lo", "hi", F.lit(False).alias("line"), (F.col("dk") != F.col("kept")).alias("lost")), [hot, known]
+    return hits.select("dk", "lo", "hi", "n", F.lit(False).alias("line"), (F.col("dk") != F.col("kept")).alias("lost")), [hot, known]
 
 
 def drop_near_paragraphs(
@@ -205,7 +216,7 @@ def drop_near_paragraphs(
     ``least`` words with a near-copy (100 * intersection >= ``similar`` * union)
     anywhere else, ``n_removed``: those of them that go, with the newline behind
     them. Of each component of paragraphs the one with the least (key, place)
-    stays. ``n_passages``: blocks that stand in another row too; their words stay in
+    stays. ``n_passages``: places of blocks that stand in another row too; their words stay in
     the row with the least key and go from the others. Where keys are equal, the
     row with the lesser hash of key and text counts as first; null keys come last.
     Null and empty texts stay as they are; rows that repeat (key and text) count as
@@ -220,7 +231,7 @@ def drop_near_paragraphs(
     kind = dict(own.dtypes)["id"]
     found = stash(own.where("text is not null").select("id", "text", "dk").mapInArrow(
         _scan(shingle, least, bands, rows, block, spread, anchor),
-        f"id {kind}, dk long, lo long, hi long, node long, n long, marks array<long>, bands array<long>, b_hash array<long>, b_lo array<long>, b_hi array<long>",
+        f"id {kind}, dk long, lo long, hi long, node long, n long, marks array<long>, bands array<long>, b_hash array<long>, b_lo array<long>, b_hi array<long>, b_n array<long>",
     ), "paragraphs")
     lines = found.where("node is not null")
     place = F.struct("dk", "lo")
@@ -241,10 +252,10 @@ def drop_near_paragraphs(
     placed = nodes.join(side(groups), nodes["node"] == groups["id"], "left").select("node", "first", "low", "high", F.coalesce("component", "node").alias("component"))
     several = placed.groupBy("component").agg(F.min("first").alias("kept"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("component", "kept")
     near = stash(placed.select("node", "component").join(several, "component").select("node", F.struct("kept.dk", "kept.lo").alias("kept")), "near")
-    events = lines.select("dk", "lo", "hi", "node").join(side(near), "node").select("dk", "lo", "hi", F.lit(True).alias("line"), (place != F.col("kept")).alias("lost"))
+    events = lines.select("dk", "lo", "hi", "node").join(side(near), "node").select("dk", "lo", "hi", F.lit(1).cast("long").alias("n"), F.lit(True).alias("line"), (place != F.col("kept")).alias("lost"))
     passages, made = _passages(found)
-    one = F.struct("lo", "hi", "line", "lost")
-    count = lambda keep: F.size(F.filter("all", keep)).cast("long")
+    one = F.struct("lo", "hi", "n", "line", "lost")
+    count = lambda keep: F.aggregate(F.filter("all", keep), F.lit(0).cast("long"), lambda done, x: done + x["n"])
     spans = _united(F.sort_array(F.transform(F.filter("all", lambda x: x["lost"]), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))))
     marks = stash(events.unionByName(passages).groupBy("dk").agg(F.collect_set(one).alias("all")).select(  # bounded by a text's length
         "dk", count(lambda x: x["line"]).alias("n_linked"), count(lambda x: x["line"] & x["lost"]).alias("n_removed"), count(lambda x: ~x["line"]).alias("n_passages"), spans.alias("spans"),

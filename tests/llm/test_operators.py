@@ -382,6 +382,37 @@ def test_equal_passages_are_found_wherever_they_stand(spark, docs, edges):
         assert least <= hit <= most
 
 
+def test_text_that_repeats_itself_makes_a_block_once(spark, monkeypatch):
+    def every_place(w, block, spread, anchor):
+        """The blocks of a slice, each place on its own, as ``SD.blocks`` gives them where no two overlap."""
+        grams = SD.K.grams(w.sums, anchor).tolist()
+        lo = {min(range(i, i + spread), key=lambda j: (grams[j], j)) for i in range(len(grams) - spread + 1) if w.text[i] == w.text[i + spread + anchor - 2]}
+        lo = np.array(sorted(x for x in lo if x + block <= w.bounds[w.text[x] + 1]), np.int64)
+        text = w.text[lo]
+        return text, w.starts[lo] - w.offsets[text], w.stops[lo + block - 1] - w.offsets[text], w.hashes(lo, lo + block), np.ones(len(lo), np.int64)
+
+    rng = random.Random(12)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(k, " ".join(fresh(20) + ["Is", "onhe."] * 150 + fresh(9 * (k % 3)) + ["Is", "onhe."] * 40 + fresh(20))) for k in range(24)]
+    rows += [(100 + k, "\n".join(["ha " * (3 * k), " ".join(fresh(50)), "ha " * 70])) for k in range(16)] + [(7, rows[7][1]), (None, rows[3][1]), (None, "ha " * 90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    passages, entries = SD._passages, []
+
+    def look(found):
+        entries.append(found.agg(F.sum(F.size("b_hash"))).first()[0])
+        return passages(found)
+
+    monkeypatch.setattr(SD, "_passages", look)
+    result = lambda: sorted(map(str, SD.drop_near_paragraphs(table).collect()))
+    got = result()
+    monkeypatch.setattr(SD, "SAMPLE", 1)
+    monkeypatch.setattr(SD, "HOT", 2)
+    assert result() == got  # the same where these blocks are hot
+    monkeypatch.setattr(SD, "blocks", every_place)
+    assert result() == got
+    assert entries[0] == entries[1] <= 24 * len(rows) and entries[2] > 100 * len(rows)
+
+
 # 8
 def brute_hits(texts, items):
     strict = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -37,13 +37,15 @@ def parity_bits(x: Column, y: Column, at: int = 0) -> Column:
     return reduce(lambda a, b: a + b, [F.bit_count(x[at + i].bitwiseXOR(y[at + i])) for i in range(PARITY)])
 
 
-def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None, at: int = 0) -> DataFrame:
+def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None, at: int = 0, few_keys: bool = False) -> DataFrame:
     """(id, component) by all links that ``confirm`` lets pass of rows (key, id) with a key in common; rows without any link may be left out.
 
     ``marks`` has (id, n, marks) of every row: the size of its set and an array of
     longs with a parity sketch at ``at``. Similar sets differ in size and in
     elements by so much at most, and so do their sketches; ``near`` is another
-    condition on two arrays of marks.
+    condition on two arrays of marks. With ``few_keys`` (some ten a row) rows carry
+    their open keys to the last pairing, where a pair is made in the least key that
+    it shares, not once in each of them.
     """
 
     def likely(x: str, y: str) -> Column:
@@ -101,14 +103,16 @@ def linked(keys: DataFrame, marks: DataFrame, similar: int, confirm: Callable[[D
         rest, before, turn = open_in(groups), size, turn + 1
     # Rows beside the main component of a key meet all its rows. Both are cut into slices by hash of the row; each pair of slices is a key of its own, so that no task has all pairs of a key.
     cuts = main.select("key", "main", *[F.greatest(F.ceil(n / SLICE), F.lit(1)).cast("int").alias(c) for n, c in ((F.col("rows"), "cuts"), (F.col("rows") - F.col("main_rows"), "minor_cuts"))])
-    open_rows = stash(rest.join(cuts, "key").join(marks, "id"), "open")
+    opened = rest.join(cuts, "key").join(marks, "id")
+    open_rows = stash(opened.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id") if few_keys else opened, "open")
     cut = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     x = open_rows.where("label <> main").select("*", cut("minor_cuts").alias("slice"), every("cuts").alias("other")).alias("x")
     y = open_rows.select("*", cut("cuts").alias("slice"), every("minor_cuts").alias("other")).alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.other")) & (F.col("x.other") == F.col("y.slice"))
     once = (F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    more = x.join(y, met & (F.col("x.label") != F.col("y.label")) & once & likely("x", "y"))
+    least = F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys")) if few_keys else F.lit(True)
+    more = x.join(y, met & (F.col("x.label") != F.col("y.label")) & once & likely("x", "y") & least)
     pairs = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    later = stash(confirm(stash(pairs.distinct(), "pairs")), "links")
+    later = stash(confirm(stash(pairs if few_keys else pairs.distinct(), "pairs")), "links")
     return joined_components(groups, later)

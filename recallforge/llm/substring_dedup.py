@@ -248,7 +248,7 @@ def drop_near_paragraphs(
         both = pairs.join(got.select(F.col("node").alias("a"), F.col("line").alias("ta")), "a").join(got.select(F.col("node").alias("b"), F.col("line").alias("tb")), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, similar), "a long, b long")
 
-    groups = linked(keys, nodes.select(F.col("node").alias("id"), "n", "marks"), similar, fetch)
+    groups = linked(keys, nodes.select(F.col("node").alias("id"), "n", "marks"), similar, fetch, few_keys=True)
     placed = nodes.join(side(groups), nodes["node"] == groups["id"], "left").select("node", "first", "low", "high", F.coalesce("component", "node").alias("component"))
     several = placed.groupBy("component").agg(F.min("first").alias("kept"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("component", "kept")
     near = stash(placed.select("node", "component").join(several, "component").select("node", F.struct("kept.dk", "kept.lo").alias("kept")), "near")

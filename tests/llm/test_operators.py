@@ -352,6 +352,27 @@ def test_further_pivots_and_hot_blocks_change_no_result(spark, monkeypatch):
     assert sorted(map(tuple, SD.drop_near_paragraphs(table).collect())) == plain
 
 
+def test_last_pairing_makes_a_pair_once(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, k) for i in range(40) for k in rng.sample(range(12), 6)]
+    keys = spark.createDataFrame([(k, i) for i, k in rows], "key long, id long")
+    marks = spark.createDataFrame([(i, 9, [0] * pivots.PARITY) for i in range(40)], "id long, n long, marks array<long>")
+    real, made = pivots.stash, []
+
+    def look(df, label):
+        out = real(df, label)
+        if label == "pairs":
+            made.append([tuple(r) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(pivots, "stash", look)
+    monkeypatch.setattr(pivots, "SLICE", 7)
+    odd = lambda pairs: pairs.where("(a + b) % 40 = 39 and a % 2 = 0")
+    found = [sorted(map(tuple, pivots.linked(keys, marks, 80, odd, few_keys=x).where("id <> component").collect())) for x in (False, True)]
+    assert found[0] == found[1] and found[0]
+    assert len(made[-1]) == len(set(made[-1])) and set(made[-1]) == set(made[len(made) // 2 - 1])
+
+
 def test_equal_passages_are_found_wherever_they_stand(spark, docs, edges):
     rng = random.Random(9)
     fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]

@@ -71,6 +71,24 @@ def deal(openers: list[Callable[[], ChatPort]]) -> Callable[[], ChatPort]:
     return open_port
 
 
+def answering(port: ChatPort, tries: int = 5, accept: Callable[[str], bool] = bool, pause: Callable[[int], float] = lambda a: min(2.0 * a, 10.0)) -> Callable[[str], tuple]:
+    """A function of a prompt: (response, ok, error, *the token counts of ``USAGE``) as ``port`` answers."""
+
+    def one(p: str) -> tuple:
+        spent = dict.fromkeys(USAGE, 0)
+
+        def call() -> str:
+            if not hasattr(port, "ask"):
+                return port(p)
+            text, usage = port.ask(p)
+            spent.update({k: spent[k] + usage.get(k, 0) for k in USAGE})  # tries that were not accepted cost tokens too
+            return text
+
+        return (*call_with_retries(call, tries, accept, pause), *spent.values())
+
+    return one
+
+
 def chat(rows: DataFrame, open_port: Callable[[], ChatPort], prompt: str = "prompt", tries: int = 5, accept: Callable[[str], bool] = bool, pause: Callable[[int], float] = lambda a: min(2.0 * a, 10.0), parallel: int = 1) -> DataFrame:
     """Rows with response, ok, error, prompt_key (SHA-256 of the prompt) and the token counts of the answer (0 where the port tells none).
 
@@ -80,19 +98,7 @@ def chat(rows: DataFrame, open_port: Callable[[], ChatPort], prompt: str = "prom
     schema = _also(rows, response="string", ok="boolean", error="string", prompt_key="string", **dict.fromkeys(USAGE, "integer"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        port = open_port()
-
-        def one(p: str) -> tuple:
-            spent = dict.fromkeys(USAGE, 0)
-
-            def call() -> str:
-                if not hasattr(port, "ask"):
-                    return port(p)
-                text, usage = port.ask(p)
-                spent.update({k: spent[k] + usage.get(k, 0) for k in USAGE})  # tries that were not accepted cost tokens too
-                return text
-
-            return (*call_with_retries(call, tries, accept, pause), *spent.values())
+        one = answering(open_port(), tries, accept, pause)
 
         with ThreadPoolExecutor(max_workers=parallel) as pool:
             for f in frames:

@@ -191,6 +191,37 @@ def test_a_cluster_takes_few_rounds(spark, monkeypatch):
     assert U._fold(d) is U._fold(d)
 
 
+def test_prefixes_of_decisions_equal_the_loop(spark, monkeypatch):
+    """Some decisions at a time, a task a bank: clusters, in which the first ones void most others, a chain and random pairs."""
+    monkeypatch.setattr(U, "PREFIX", 200)
+    rng = random.Random(8)
+    rows = [(b, o, j, i, "MERGE") for b in ("p", "q") for o, (j, i) in enumerate((j, i) for j in range(45) for i in range(j))]
+    rows += [("chain", o, o, o + 1, "SUPERSEDE") for o in range(90)] + [("r", o, rng.randrange(80), rng.randrange(80), rng.choice(["MERGE", "KEEP_BOTH"])) for o in range(300)]
+    d = spark.createDataFrame(rows, "bank string, ord long, idx_new long, idx_old long, decision string")
+    for rounds in (0, 40):
+        got = U.acting(d, 100, rounds).collect()
+        assert len(got) == len(loop(rows)) and {(r["bank"], r["ord"]) for r in got} == loop(rows)
+    n = {b: [sum(1 for x in rows if x[0] == b), sum(1 for x in loop(rows) if x[0] == b)] for b in ("p", "q", "chain", "r")}
+    stats = {r["bank"]: [r["decisions"], r["merged"] + r["superseded"], r["keep_both"]] for r in U.decision_stats(d).collect()}
+    assert stats == {b: [a, k, a - k] for b, (a, k) in n.items()}
+
+
+def test_parts_of_a_dimension_are_looked_up_for_acting_decisions_only(spark):
+    d = spark.createDataFrame([("b", o, o, o + 1, "MERGE", "m", ("profile", "", None, None, None, ["k"])) for o in range(6)], "bank string, ord long, idx_new long, idx_old long, decision string, merged_content string, merged_dimension struct<memory_type:string,time:string,location:string,reason:string,purpose:string,keywords:array<string>>")
+    m = spark.range(8).select(F.lit("b").alias("bank"), F.col("id").alias("idx"), F.lit("c").alias("content"), F.lit("fact").alias("memory_type"), *[F.lit("").alias(c) for c in ("time", "location", "reason", "purpose")], F.array(F.lit("w")).alias("keywords"))
+    got = U.apply_dimensions(m, d)
+    assert not [x for x in _plan(got).split("\n") if "LogicalRDD" in x and "merged_dimension" in x]  # those of the stored acting ones are joined
+    assert sorted((r["seq"], r["origin"], r["memory_type"]) for r in got.collect()) == sorted([(s, "added", "profile") for s in (0, 2, 4)] + [(6, "kept", "fact"), (7, "kept", "fact")])
+
+
+def test_pairs_are_not_joined_with_their_cosines(spark):
+    m = spark.createDataFrame([("b", i, t) for i, t in enumerate(["a b", "a", "c", None])], "bank string, idx long, content string")
+    p = spark.createDataFrame([("b", i, j, f"{i}{j}") for j in range(4) for i in range(j)], "bank string, i long, j long, note string")
+    got = U.count_cosine(m, p)
+    assert _plan(got).startswith("MapInArrow")
+    assert {(r["i"], r["j"], r["note"]): round(r["similarity"], 9) for r in got.collect()} == {(i, j, f"{i}{j}"): round(0.5**0.5, 9) if (i, j) == (0, 1) else 0.0 for j in range(4) for i in range(j)}
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 

@@ -113,6 +113,13 @@ def run_judge(answers: DataFrame, gold: DataFrame, open_port: Callable[[], ChatP
 _DIMENSION = "struct<memory_type:string,time:string,location:string,reason:string,purpose:string,keywords:array<string>>"
 
 
+def _ask_by_prompt(ends: DataFrame, memories: DataFrame, fields: dict[str, Column], template: str, places: dict[str, tuple[str, int]], open_port: Callable[[], ChatPort], ledger: Ledger, step: str, tries: int) -> DataFrame:
+    """Answers of a ledger on pairs (bank, i, j), with a row a prompt, as the ledger tells prompts by their text."""
+    met = U.with_both(ends, memories, list(fields.values()))
+    prompt = prompts.fill(template, **{name: F.get(f"of_{end}", F.lit(at)) for name, (end, at) in places.items()})
+    return _ask(met.select("bank", F.col("i").alias("idx_new"), F.col("j").alias("idx_old"), prompt.alias("prompt")), open_port, ledger, step, tries=tries)
+
+
 def decide(memories: DataFrame, open_port: Callable[[], ChatPort], least: float = 0.3, similar: float = 0.7, method: str = "content", template: str | None = None, tries: int = 3, ledger: Ledger | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Decisions (bank, ord, idx_new, idx_old, decision, merged_content, merged_dimension, reasoning, error and token counts) on the conflict pairs of banks; an error keeps both.
 
@@ -124,18 +131,20 @@ def decide(memories: DataFrame, open_port: Callable[[], ChatPort], least: float
     if method == "dimension":
         fields |= {"TYPE": F.col("memory_type"), "WHEN": F.col("time"), "KEYWORDS": F.array_join("keywords", ", "), "REASON": F.col("reason"), "PURPOSE": F.col("purpose")}
     names = list(fields)
-    met = U.with_both(pairs.select("bank", F.col("idx_new").alias("i"), F.col("idx_old").alias("j")), memories, list(fields.values()))
-    both = met.select("bank", F.col("i").alias("idx_new"), F.col("j").alias("idx_old"), *[F.get(f"of_{s}", F.lit(at)).alias(f"{f}_{n}") for s, n in (("i", "new"), ("j", "old")) for at, f in enumerate(names)])
-    parts = {"NEW": F.col("C_new"), "OLD": F.col("C_old")} | {f"{f}_{n.upper()}": F.col(f"{f}_{n}") for f in fields if f not in ("C", "TYPE") for n in ("new", "old")}
+    ends = pairs.select("bank", F.col("idx_new").alias("i"), F.col("idx_old").alias("j"))
+    places = {"NEW": ("i", names.index("C")), "OLD": ("j", names.index("C"))} | {f"{f}_{n.upper()}": ("i" if n == "new" else "j", at) for at, f in enumerate(names) if f not in ("C", "TYPE") for n in ("new", "old")}
     if method == "dimension":
-        parts["TYPE"] = F.col("TYPE_new")
+        places["TYPE"] = ("i", names.index("TYPE"))
     template = template or (prompts.DECIDE_DIMENSION if method == "dimension" else prompts.DECIDE)
-    got = _ask(both.select("bank", "idx_new", "idx_old", prompts.fill(template, **parts).alias("prompt")), open_port, ledger, f"decide-{method}", tries=tries)
+    if ledger is None:
+        got = U.ask_of_both(ends, memories, list(fields.values()), template, places, open_port, tries).select("bank", F.col("i").alias("idx_new"), F.col("j").alias("idx_old"), "response", "ok", "error", *USAGE)
+    else:
+        got = _ask_by_prompt(ends, memories, fields, template, places, open_port, ledger, f"decide-{method}", tries)
     body = P.json_strict(F.col("response"))
     given = F.when(F.col("ok"), F.from_json(F.get_json_object(body, "$.merged_dimension"), _DIMENSION)) if method == "dimension" else F.lit(None).cast(_DIMENSION)
     text = lambda p: F.coalesce(F.get_json_object(body, p), F.lit(""))
     read = got.select("bank", "idx_new", "idx_old", F.when(F.col("ok"), P.parse_decision(F.col("response"))).otherwise("KEEP_BOTH").alias("decision"), text("$.merged_content").alias("merged_content"), given.alias("merged_dimension"), text("$.reasoning").alias("reasoning"), "error", *USAGE)
-    return stash(numbered(stash(read, "answers"), ["bank"], ["idx_new", "idx_old"], "ord"), "decisions")  # decisions are taken in one order
+    return numbered(stash(read, "answers"), ["bank"], ["idx_new", "idx_old"], "ord")  # decisions are taken in one order; its rows are stored already
 
 
 def compress_texts(rows: DataFrame, open_port: Callable[[], CompressPort], ledger: Ledger, text: str = "content", rate: float = 0.8, tries: int = 3, **how) -> DataFrame:

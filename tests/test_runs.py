@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from recallforge import quickstart
 from recallforge import report as report_cli
 from recallforge.operators import segment as G
+from recallforge.operators import upkeep as U
 from recallforge.plans import jobs, prompts
 from recallforge.ports import EchoChat, HttpChat, chat, deal
 from recallforge.plans import edges
@@ -131,6 +132,21 @@ def test_update_with_observed_counts(spark, tmp_path):
     assert idle["pairs"] == 0 and idle["memories"] == 6
 
 
+def test_prompts_of_pairs_are_made_where_both_memories_are(spark, tmp_path):
+    """The same decisions as with a row a prompt, also for texts with names of the template in them, and no prompt in the plan."""
+    rows = [("b", i, f" text {i} {{OLD}} ", f"fact{i % 2}" if i else None, "2024" if i % 2 else "", "", "why {TYPE}", "", ["alpha", "beta"] if i < 4 else None) for i in range(6)]
+    m = spark.createDataFrame(rows, "bank string, idx long, content string, memory_type string, time string, location string, reason string, purpose string, keywords array<string>").withColumn("source_time", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    pairs = spark.createDataFrame([("b", j, i) for j in range(6) for i in range(j)], "bank string, idx_new long, idx_old long")
+    answer = lambda p: json.dumps({"decision": "MERGE", "merged_content": p})
+    for method in ("content", "dimension"):
+        read = lambda x: sorted(tuple(map(str, r)) for r in x.drop("merged_dimension").collect())
+        own = jobs.decide(m, lambda: EchoChat(answer), method=method, pairs=pairs)
+        want = read(jobs.decide(m, lambda: EchoChat(answer), method=method, pairs=pairs, ledger=Ledger(spark, str(tmp_path / method), "r")))
+        assert len(want) == 15 and read(own) == want
+    asked = U.ask_of_both(pairs.select("bank", F.col("idx_new").alias("i"), F.col("idx_old").alias("j")), m, [F.col("content")], "{NEW}", {"NEW": ("i", 0)}, lambda: EchoChat(answer))
+    assert asked.count() == 15 and "prompt" not in asked.columns
+
+
 def test_extraction_resumes(spark, tmp_path):
     item = [("q1", [[("user", "likes pizza"), ("assistant", "ok"), ("user", "works at night")]], ["2023/06/25 (Sun) 13:22"], ["s1"])]
     df = spark.createDataFrame(item, "question_id string, haystack_sessions array<array<struct<role:string,content:string>>>, haystack_dates array<string>, haystack_session_ids array<string>")
